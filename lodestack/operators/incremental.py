@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import clash_free, fingerprint
 
-LANES = 256
+LANES = 4_096
 LEDGER = "lane int, lo long, hi long"
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sync",)
-FLAGSHIP = "p5_found"
+MODULES = ("sync", "retrieval", "graphs", "texts", "memories")
+FLAGSHIP = "hybrid_search"
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

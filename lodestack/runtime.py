@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SETTLED: list = []
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """As :func:`cut`, but as a compressed columnar table, for results that are read several times.
+
+    The table stays until the application ends; loops use :func:`cut`, whose files go with their DataFrame.
+    """
+    spark = df.sparkSession
+    if not _SETTLED:
+        atexit.register(_remove_settled)
+    path = f"{checkpoint_folder(spark)}/settled-{uuid.uuid4().hex}"
+    _SETTLED.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove_settled() -> None:
+    for spark, path in _SETTLED:
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001 - the session may be gone
+            pass
+    _SETTLED.clear()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
