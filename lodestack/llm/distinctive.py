@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import clash_free, cut, shuffle_width
+from ..runtime import clash_free, cut, settle, shuffle_width
 
 OWN_SHARE = 0.1  #: the share of a node's weight that its own model is given beforehand
 ROUNDS, TOLERANCE = 100, 1e-9
@@ -24,8 +24,11 @@ VALID_WEIGHTS = (1.0, 2.0, 3.0)
 
 def term_weights(postings: DataFrame, nodes: DataFrame) -> DataFrame:
     """node_id, term, weight: the summed weight of usable postings of existing nodes, repeats counted once."""
-    rows = clash_free(postings, "term", "node_id", "line", "weight").filter(F.col("weight").isin(*VALID_WEIGHTS)).dropna(subset=["term", "node_id"]).distinct()
-    summed = rows.groupBy("node_id", "term").agg(F.sum("weight").alias("weight"))
+    rows = clash_free(postings, "term", "node_id", "line", "weight").filter(F.col("weight").isin(*VALID_WEIGHTS)).dropna(subset=["term", "node_id"])
+    # One exchange: repeats go in the partial sets, the places of a term in a node are summed behind it. A set
+    # holds at most the lines of one node's source, which is itself one value of one row.
+    places = F.collect_set(F.struct(F.col("line"), F.col("weight"))).alias("places")
+    summed = rows.groupBy("node_id", "term").agg(places).select("node_id", "term", F.aggregate("places", F.lit(0.0), lambda total, p: total + p["weight"]).alias("weight"))
     return summed.join(nodes.select("node_id").distinct(), "node_id", "left_semi")
 
 
@@ -66,7 +69,7 @@ def score_terms(postings: DataFrame, nodes: DataFrame, own_share: float = OWN_SH
     Rows without term or node, of nodes that don't exist, or whose weight is none of the role weights are
     left out, exact repeats count once. Scores of a node sum to one. Empty tables give no rows.
     """
-    weights = cut(term_weights(postings, nodes))
+    weights = settle(term_weights(postings, nodes))
     sizes = weights.groupBy("node_id").agg(F.count("*").alias("terms")).filter(F.col("terms") > large_node)
     rows = with_background(weights)
     large = cut(sizes)
