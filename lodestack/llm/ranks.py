@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import settle
+
 SCORES = ("lexical", "semantic", "structural", "leiden", "pagerank", "rrf_score")
 BUCKETS = 64
 LARGE_GROUP = 50_000
@@ -38,7 +40,7 @@ def stream_scores(streams: DataFrame) -> DataFrame:
 
 def ranked_values(scores: DataFrame, large_group: int = LARGE_GROUP) -> DataFrame:
     """query_id, metric, value, rank: competition rank of each value, ties averaged, 1 for the highest."""
-    counts = scores.filter("value is not null").groupBy("query_id", "metric", "value").agg(F.count("*").alias("n"))
+    counts = settle(scores.filter("value is not null").groupBy("query_id", "metric", "value").agg(F.count("*").alias("n")))
     groups = counts.groupBy("query_id", "metric").agg(F.count("*").alias("values"), F.percentile_approx("value", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("cuts"))
     groups = groups.select("query_id", "metric", F.when(F.col("values") > large_group, F.array_distinct("cuts")).otherwise(F.array().cast("array<double>")).alias("cuts"))
     bucketed = counts.join(groups, ["query_id", "metric"]).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
@@ -59,6 +61,7 @@ def borda(scores: DataFrame, weights: dict[str, float] | None = None, missing: s
     """
     if missing not in ("worst", "middle"):
         raise ValueError("missing must be worst or middle")
+    scores = settle(scores)
     nodes = scores.select("query_id", "node_id").distinct()
     sizes = nodes.groupBy("query_id").agg(F.count("*").alias("nodes"))
     present = scores.filter("value is not null").join(ranked_values(scores, large_group), ["query_id", "metric", "value"])
@@ -70,7 +73,7 @@ def borda(scores: DataFrame, weights: dict[str, float] | None = None, missing: s
     base = metrics.withColumn("absent", weight * (F.col("nodes") - fill)).groupBy("query_id").agg(F.sum("absent").alias("base"))
     gain = present.join(metrics, ["query_id", "metric"]).groupBy("query_id", "node_id").agg(F.sum(weight * (fill - F.col("rank"))).alias("gain"))
     points = nodes.join(base, "query_id").join(gain, ["query_id", "node_id"], "left").select("query_id", "node_id", F.round(F.col("base") + F.coalesce("gain", F.lit(0.0)), 6).alias("points"))
-    return _positions(points, large_group)
+    return _positions(settle(points), large_group)
 
 
 def _positions(points: DataFrame, large_group: int) -> DataFrame:
