@@ -91,11 +91,15 @@ def compress_output(text: Column, command: Column) -> Column:
     return unlines(smart_truncate(dedup_lines(kept)))
 
 
+_BLANK = "[\\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def evacuate_whitespace(text: Column) -> Column:
-    """Lines without blanks at both ends, one empty line for each run of them, no empty ones at the ends."""
-    trimmed = F.transform(lines(text), lambda line: F.regexp_replace(line, r"^\s+|\s+$", ""))
-    joined = F.array_join(trimmed, "\n")
-    return F.regexp_replace(F.regexp_replace(joined, r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
+    """Lines without blanks at both ends, one empty line for each run of empty ones, no final line end."""
+    trimmed = F.transform(lines(text), lambda line: F.regexp_replace(line, f"^{_BLANK}+|{_BLANK}+$", ""))
+    joined = F.regexp_replace(F.array_join(trimmed, "\n"), r"\n{3,}", "\n\n")
+    joined = F.regexp_replace(joined, r"\A\n{2,}|\n{2,}\z", "\n")
+    return F.when(F.rlike(joined, F.lit(r"\A\n*\z")), F.lit("")).otherwise(joined)
 
 
 def collapse_indent(text: Column) -> Column:

@@ -75,6 +75,7 @@ def _str(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+_BLANK = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _LINES = "CASE WHEN text = '' THEN []::VARCHAR[] WHEN ends_with(text, chr(10)) THEN string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))[:-2] ELSE string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) END"
 _UN = "CASE WHEN len({0}) = 0 THEN '' ELSE array_to_string({0}, chr(10)) || chr(10) END"
 _SIGNS = "[^" + STANDALONE.replace("[", "\\[").replace("]", "\\]") + "]"
@@ -87,7 +88,9 @@ _ANY_TEST = " OR ".join(f"contains(x, {_str(w)})" for w in T.TEST_MARKERS)
 SQL = {
     "token_estimates": f"SELECT doc_id, CASE WHEN text = '' THEN 0 WHEN text IS NULL THEN NULL ELSE greatest(ceil(strlen(text) * 5 / 16.0), floor(length(regexp_replace(text, '{_SIGNS}', '', 'g')) / 3), 1) END::BIGINT AS tokens FROM documents",
     "whitespace_evacuated": f"""
-        WITH o AS (SELECT doc_id, text, regexp_replace(regexp_replace(array_to_string(list_transform({_LINES}, lambda x: regexp_replace(x, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') AS o FROM documents)
+        WITH t AS (SELECT doc_id, text, array_to_string(list_transform({_LINES}, lambda x: regexp_replace(x, '^{_BLANK}+|{_BLANK}+$', '', 'g')), chr(10)) AS o FROM documents),
+        c AS (SELECT doc_id, text, regexp_replace(regexp_replace(o, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n{{2,}}|\\n{{2,}}$', chr(10), 'g') AS o FROM t),
+        o AS (SELECT doc_id, text, CASE WHEN regexp_full_match(o, '\\n*') THEN '' ELSE o END AS o FROM c)
         SELECT doc_id, strlen(text)::INT AS before, strlen(o)::INT AS after, md5(o) AS digest FROM o
     """,
     "indent_collapsed": "SELECT doc_id, md5(regexp_replace(text, '(?m)^[ \\t]+', ' ', 'g')) AS digest FROM documents",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sync", "retrieval", "graphs", "texts", "memories")
+MODULES = ("sync", "retrieval", "graphs", "texts", "memories", "code")
 FLAGSHIP = "hybrid_search"
 
 QUERIES: dict = {}
