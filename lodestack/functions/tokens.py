@@ -13,7 +13,7 @@ def token_estimate(text: Column) -> Column:
     """max(ceil(bytes / 3.2), standalone signs / 3, 1); 0 for an empty text, null for null."""
     signs = F.length(text) - F.length(F.translate(text, STANDALONE, ""))
     by_bytes = F.ceil(F.octet_length(text) * 5 / F.lit(16))
-    return F.when(F.octet_length(text) == 0, F.lit(0).cast("long")).otherwise(F.greatest(by_bytes, F.floor(signs / 3), F.lit(1).cast("long")))
+    return F.when(F.octet_length(text) == 0, F.lit(0).cast("long")).when(text.isNotNull(), F.greatest(by_bytes, F.floor(signs / 3), F.lit(1).cast("long")))
 
 
 def query_terms(text: Column) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut, fingerprint
-from .graph import COMMUNITY_WEIGHTS, clean_edges, kind_weight
+from .graph import COMMUNITY_WEIGHTS, clean_edges, dense_ids, kind_weight
 
-SMALL_EDGES = 500_000
+SMALL_EDGES = 200_000
 SWEEPS = 100
 
 
@@ -35,10 +35,10 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, sma
         found = sequential(sorted(r[0] for r in ids.collect()), [tuple(r) for r in pairs.collect()], resolution)
         return spark.createDataFrame(list(found.items()), "node_id long, community long")
     moved = _in_rounds(ids, pairs, resolution)
-    parts = connected(ids, pairs, moved)
-    label = parts.groupBy("part").agg(F.min("node_id").alias("first"))
-    ordered = label.withColumn("community", F.col("first"))
-    return parts.join(ordered, "part").select("node_id", "community")
+    parts = cut(connected(ids, pairs, moved))
+    # a part is named by its first node, so ranking the parts numbers them by first nodes
+    label = dense_ids(parts.select("part").distinct(), ["part"]).withColumnRenamed("dense_id", "community")
+    return parts.join(label, "part").select("node_id", "community")
 
 
 def sequential(ids: list[int], pairs: list[tuple[int, int, float]], resolution: float = 1.0) -> dict[int, int]:
@@ -106,10 +106,10 @@ def _in_rounds(ids: DataFrame, pairs: DataFrame, resolution: float, rounds: int
         gain = F.col("links") - resolution * (F.col("total") - F.when(F.col("community") == F.col("old"), F.col("k")).otherwise(0.0)) * F.col("k") / twice
         best = links.join(total, "community").join(old, "node_id").withColumn("gain", F.round(gain, 10)).groupBy("node_id").agg(F.max_by("community", F.struct("gain", -F.col("community"))).alias("best"))
         turn = fingerprint("node_id", F.lit(number)) % 2 == 0
-        after = cut(home.join(best, "node_id", "left").select("node_id", F.when(turn & F.col("best").isNotNull(), F.col("best")).otherwise(F.col("community")).alias("community"), "community"). toDF("node_id", "community", "was"))
-        moved = after.filter("community <> was").limit(1).count()
-        home = after.drop("was")
-        if not moved and number:
+        wanted = F.coalesce("best", "community")
+        after = cut(home.join(best, "node_id", "left").select("node_id", F.when(turn, wanted).otherwise(F.col("community")).alias("new"), (wanted != F.col("community")).alias("restless")))
+        home = after.select("node_id", F.col("new").alias("community"))
+        if after.filter("restless").limit(1).count() == 0:
             break
     return home
 

@@ -58,7 +58,7 @@ class Engine:
         """The prompt for a cursor with its sizes; an unknown path gives an empty one."""
         file = self.files.filter(F.col("path") == path)
         config = self.settings.context
-        at = file.select(F.lit(0).alias("cursor_id"), F.regexp_replace("path", "^src/", "").alias("file_path"), context.byte_offset(F.col("text"), F.lit(line), F.lit(column)).alias("offset"), context.surrounding_lines(F.col("text"), F.lit(line), config.surrounding_lines).alias("around"))
+        at = file.select(F.lit(0).alias("cursor_id"), F.col("path").alias("file_path"), context.byte_offset(F.col("text"), F.lit(line), F.lit(column)).alias("offset"), context.surrounding_lines(F.col("text"), F.lit(line), config.surrounding_lines).alias("around"))
         place = at.first()
         if place is None:
             return {"prompt": "", "tokens": 0, "dependencies": []}
