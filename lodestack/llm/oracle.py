@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_SIZE = "CASE WHEN text = '' THEN 0 ELSE greatest(ceil(strlen(text) * 5 / 16.0), floor(len(regexp_replace(text, '[^{}()\\[\\]:;,=<>&|#@]', '', 'g')) / 3), 1) END"
+_SIZE = "CASE WHEN text = '' THEN 0 WHEN text IS NOT NULL THEN greatest(ceil(strlen(text) * 5 / 16.0), floor(len(regexp_replace(text, '[^{}()\\[\\]:;,=<>&|#@]', '', 'g')) / 3), 1) END"
 
 SQL = {
     "p2_found": f"""
