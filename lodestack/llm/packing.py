@@ -74,7 +74,7 @@ def pack(deps: DataFrame, windows: DataFrame, lane_rows: int = LANE_ROWS, most_o
     """
     rows = clash_free(deps, "dep_id", "window_id", "text", "tokens").distinct()
     rooms = windows.select(windows["window_id"].cast("int").alias("window_id"), windows["capacity"].cast("long").alias("capacity")).filter("capacity > 0").groupBy("window_id").agg(F.max("capacity").alias("capacity"))
-    rows = rows.select(F.col("dep_id").cast("long").alias("dep_id"), F.col("window_id").cast("int").alias("window_id"), "text", F.coalesce(token_estimate(F.col("text")), F.greatest(F.col("tokens"), F.lit(0))).cast("long").alias("tokens"))
+    rows = rows.select(F.col("dep_id").cast("long").alias("dep_id"), F.col("window_id").cast("int").alias("window_id"), "text", F.coalesce(token_estimate(F.col("text")), F.when(F.col("tokens") < 0, F.lit(0)).otherwise(F.col("tokens"))).cast("long").alias("tokens"))
     rows = rows.join(rooms, "window_id").dropna(subset=["dep_id", "tokens"])
     # the text itself travels only where it has to be cut
     rows = rows.withColumn("text", F.when(F.col("tokens") > F.col("capacity"), F.col("text"))).withColumn("at", fingerprint("dep_id", "tokens", "text"))
