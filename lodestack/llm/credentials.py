@@ -80,6 +80,13 @@ _PIECES = re.compile(_NAME + r"\s*(?::\s*[^=\n]+)?=\s*(?:concat!\s*\(|\[|\()\s*(
 _JOINED = re.compile(_NAME + r"\s*(?::\s*[^=\n]+)?=\s*(?P<body>b?\"[^\"\n]*\"(?:\.to_(?:string|owned)\(\))?(?:\s*(?:\+|\\)\s*&?b?\"[^\"\n]*\"){1,})")
 _BYTES = re.compile(_NAME + r"\s*(?::\s*[^=\n]+)?=\s*&?(?:vec!)?\[\s*(?P<body>(?:(?:0x[0-9A-Fa-f]{1,2}|\d{1,3}|b'[^'\n]+')(?:u8)?\s*,?\s*){8,})\]")
 _HINT = re.compile(r"(?i)pass|pw|secret|token|bearer|cred|key|auth|unlock|sig|://|otp|psk|login|[A-Za-z0-9+/_\-]{16}")
+#: Cheap signs without which the rule behind them can't match anywhere in a text.
+_MAY = [
+    (re.compile(r'"\s*[,+]?\s*b?"'), _PIECES),
+    (re.compile(r'"(?:\.to_\w+\(\))?\s*[+\\]'), _JOINED),
+]
+_MAY_BYTES = re.compile(r"\[\s*(?:0x|\d|b')")
+_MAY_FORMAT = re.compile(r"AKIA|ASIA|gh[pousr]_|github_pat|glpat|xox|_(?:live|prod|test|pat|secret|sk|key)_|sk-|AIza|eyJ")
 _SCHEME = re.compile(r"(?i)^(bearer|basic|token)\s+")
 
 
@@ -144,14 +151,14 @@ def find_credentials(text: str, folder: str = TOKENIZER_FOLDER) -> list[Span]:
         if len(body) >= 32 and not _STAND_IN.search(body):
             add(m.start(), m.start(1), m.end(1), "block")
         taken.append(m.span())
-    for rule in (_PIECES, _JOINED):
-        for m in rule.finditer(text):
+    for sign, rule in _MAY:
+        for m in rule.finditer(text) if sign.search(text) else ():
             pieces = list(re.finditer(r'"([^"\n]*)"', m["body"]))
             if literal(m["name"], "".join(p[1] for p in pieces), folder):
                 at = m.start("body")
                 for p in pieces:
                     add(at + pieces[0].start(), at + p.start(1), at + p.end(1), "pieces")
-    for m in _BYTES.finditer(text):
+    for m in _BYTES.finditer(text) if _MAY_BYTES.search(text) else ():
         if names_secret(m["name"]) and len(set(re.findall(r"0x\w+|\d+|'[^']'", m["body"]))) > 4:
             add(m.start("body"), m.start("body"), m.end("body"), "bytes")
     for m in _LOGIN.finditer(text):
@@ -178,7 +185,7 @@ def find_credentials(text: str, folder: str = TOKENIZER_FOLDER) -> list[Span]:
             name = "bearer" if scheme else "password" if m["name"].startswith("-") else m["name"]
             if why := literal(name, trimmed, folder):
                 add(start, start, start + len(trimmed), why)
-    for m in _FORMAT.finditer(text):
+    for m in _FORMAT.finditer(text) if _MAY_FORMAT.search(text) else ():
         if not _STAND_IN.search(m[0]):
             add(m.start(), m.start(), m.end(), "format")
     return sorted(spans)
