@@ -30,6 +30,11 @@ FOLD_PHRASES = {
 GLYPHS = "αβγδεζηθικλμνξοπρστυφχψω"
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; inside of other functions an expression runs for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _any(column: Column, words: tuple[str, ...]) -> Column:
     found = F.lit(False)
     for word in words:
@@ -39,13 +44,13 @@ def _any(column: Column, words: tuple[str, ...]) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without their ends; a final line end makes no further line, an empty text has none."""
-    parts = F.split(F.regexp_replace(text, r"\r\n", "\n"), "\n")
-    return F.when(text == "", F.array().cast("array<string>")).when(F.endswith(text, F.lit("\n")), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    parts = F.split(F.regexp_replace(F.regexp_replace(text, r"\r\n", "\n"), r"\n\z", ""), "\n")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(parts)
 
 
 def unlines(parts: Column) -> Column:
     """Lines with an end after each; empty for no lines."""
-    return F.when(F.size(parts) == 0, F.lit("")).otherwise(F.concat(F.array_join(parts, "\n"), F.lit("\n")))
+    return bind(parts, lambda rows: F.when(F.size(rows) == 0, F.lit("")).otherwise(F.concat(F.array_join(rows, "\n"), F.lit("\n"))))
 
 
 def strip_ansi(text: Column) -> Column:
@@ -68,16 +73,23 @@ def filter_test_lines(parts: Column) -> Column:
 
 def dedup_lines(parts: Column) -> Column:
     """Runs of equal lines as one line with `` (xN)`` behind it."""
-    numbers = F.when(F.size(parts) > 0, F.sequence(F.lit(0), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(numbers, lambda i: (i == 0) | (F.get(parts, i) != F.get(parts, i - 1)))
-    def shown(start: Column, at: Column) -> Column:
-        count = F.coalesce(F.get(starts, at + 1), F.size(parts)) - start
-        return F.when(count > 1, F.concat(F.get(parts, start), F.lit(" (x"), count.cast("string"), F.lit(")"))).otherwise(F.get(parts, start))
-    return F.transform(starts, shown)
+    def runs(rows: Column) -> Column:
+        numbers = F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.size(rows) - 1)).otherwise(F.array().cast("array<int>"))
+        return bind(F.filter(numbers, lambda i: (i == 0) | (F.get(rows, i) != F.get(rows, i - 1))), lambda starts: F.transform(starts, lambda start, at: shown(rows, starts, start, at)))
+
+    def shown(rows: Column, starts: Column, start: Column, at: Column) -> Column:
+        count = F.coalesce(F.get(starts, at + 1), F.size(rows)) - start
+        return F.when(count > 1, F.concat(F.get(rows, start), F.lit(" (x"), count.cast("string"), F.lit(")"))).otherwise(F.get(rows, start))
+
+    return bind(parts, runs)
 
 
 def smart_truncate(parts: Column) -> Column:
     """Head and tail of long outputs in which no line tells of a failure."""
+    return bind(parts, _head_and_tail)
+
+
+def _head_and_tail(parts: Column) -> Column:
     count = F.size(parts)
     note = F.concat(F.lit("[... Truncated "), (count - 2 * TRUNCATE_KEEP).cast("string"), F.lit(" lines of token noise ...]"))
     short = F.concat(F.slice(parts, 1, TRUNCATE_KEEP), F.array(note), F.slice(parts, F.greatest(count - TRUNCATE_KEEP + 1, F.lit(1)), TRUNCATE_KEEP))
@@ -99,7 +111,7 @@ def evacuate_whitespace(text: Column) -> Column:
     trimmed = F.transform(lines(text), lambda line: F.regexp_replace(line, f"^{_BLANK}+|{_BLANK}+$", ""))
     joined = F.regexp_replace(F.array_join(trimmed, "\n"), r"\n{3,}", "\n\n")
     joined = F.regexp_replace(joined, r"\A\n{2,}|\n{2,}\z", "\n")
-    return F.when(F.rlike(joined, F.lit(r"\A\n*\z")), F.lit("")).otherwise(joined)
+    return bind(joined, lambda out: F.when(F.rlike(out, F.lit(r"\A\n*\z")), F.lit("")).otherwise(out))
 
 
 def collapse_indent(text: Column) -> Column:

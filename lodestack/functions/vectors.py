@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -47,21 +49,27 @@ def mock_embedding(texts: pd.Series) -> pd.Series:
 _TERM = re.compile(r"\w+")
 
 
+@lru_cache(maxsize=200_000)
+def _term_features(term: str, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and values that one occurrence of a term adds."""
+    names = [term, *("#" + term[i : i + 3] for i in range(len(term) - 2))]
+    weights = np.array([1.0] + [0.2] * (len(names) - 1))
+    slots, values = [], []
+    for scale, salt in ((1.0, "0123456789123456"), (0.5, "6543219876543210")):
+        hashes = pd.util.hash_array(np.array(names, object), hash_key=salt, categorize=False)
+        slots.append((hashes % np.uint64(dims)).astype(np.int64))
+        values.append(weights * scale * np.where(hashes >> np.uint64(63), -1.0, 1.0))
+    return np.concatenate(slots), np.concatenate(values)
+
+
 def feature_vector(text: str, dims: int = 384) -> np.ndarray:
     """Terms (1.0) and their trigrams (0.2) under two signed hashes, the second at half weight; length one."""
-    names: dict[str, float] = {}
-    for term in _TERM.findall(text.lower()):
-        names[term] = names.get(term, 0.0) + 1.0
-        for i in range(len(term) - 2):
-            gram = "#" + term[i : i + 3]
-            names[gram] = names.get(gram, 0.0) + 0.2
     vector = np.zeros(dims)
-    if names:
-        keys = np.array(list(names), object)
-        values = np.array(list(names.values()))
-        for scale, salt in ((1.0, "0123456789123456"), (0.5, "6543219876543210")):
-            hashes = pd.util.hash_array(keys, hash_key=salt, categorize=False)
-            np.add.at(vector, (hashes % np.uint64(dims)).astype(int), values * scale * np.where(hashes >> np.uint64(63), -1.0, 1.0))
+    counts = Counter(_TERM.findall(text.lower()))
+    if counts:
+        parts = [_term_features(term, dims) for term in counts]
+        times = np.repeat(np.fromiter(counts.values(), float), [len(v) for _, v in parts])
+        vector = np.bincount(np.concatenate([s for s, _ in parts]), np.concatenate([v for _, v in parts]) * times, dims)
     size = math.sqrt(float(vector @ vector))
     return vector / size if size else vector
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +17,7 @@ from ..functions.text import evacuate_whitespace
 from ..functions.tokens import token_estimate
 from ..runtime import cut, shuffle_width
 
+_WORD = re.compile(r"\w+")
 _LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 
@@ -37,14 +39,12 @@ def short_token(number: int) -> str:
 def _dictionary(source: str, names: list[str], first: int) -> tuple[str, dict[str, str]]:
     if re.search(r"\$[A-Za-z0-9]", source):
         return source, {}
-    text, table = source, {}
+    uses, short, table = Counter(_WORD.findall(source)), {}, {}
     for number, name in enumerate(names):
-        token = short_token(first + number)
-        pattern = re.compile(rf"\b{re.escape(name)}\b")
-        uses, size = len(pattern.findall(source)), len(name.encode())
-        if uses * (size - len(token)) > len(token) + size + 2:
-            text = pattern.sub(lambda _, t=token: t, text)
-            table[token] = name
+        token, size = short_token(first + number), len(name.encode())
+        if uses[name] * (size - len(token)) > len(token) + size + 2:
+            short[name], table[token] = token, name
+    text = _WORD.sub(lambda m: short.get(m[0], m[0]), source)
     legend = f"// aliases:{','.join(f'{t}={n}' for t, n in sorted(table.items()))}\n" if table else ""
     return (text, table) if table and len((legend + text).encode()) < len(source.encode()) else (source, {})
 

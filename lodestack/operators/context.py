@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import lines
+from ..functions.text import bind, lines
 from ..functions.tokens import token_estimate
 
 BUDGET, DEPENDENCY_BUDGET, MOST_DEPENDENCIES, AROUND = 4000, 2400, 5, 16
@@ -13,10 +13,12 @@ BUDGET, DEPENDENCY_BUDGET, MOST_DEPENDENCIES, AROUND = 4000, 2400, 5, 16
 
 def byte_offset(text: Column, line: Column, column: Column) -> Column:
     """Bytes before a place given by line and code point, both from 0 and clamped to the text."""
-    rows = F.split(text, "\n")
-    at = F.least(F.greatest(line, F.lit(0)), F.size(rows) - 1)
-    before = F.aggregate(F.slice(rows, 1, at), F.lit(0), lambda total, row: total + F.octet_length(row) + 1)
-    return before + F.octet_length(F.substring(F.get(rows, at), F.lit(1), F.greatest(column, F.lit(0))))
+    def offset(rows: Column) -> Column:
+        at = F.least(F.greatest(line, F.lit(0)), F.size(rows) - 1)
+        before = F.aggregate(F.slice(rows, 1, at), F.lit(0), lambda total, row: total + F.octet_length(row) + 1)
+        return before + F.octet_length(F.substring(F.get(rows, at), F.lit(1), F.greatest(column, F.lit(0))))
+
+    return bind(F.split(text, "\n"), offset)
 
 
 def node_at_cursor(nodes: DataFrame, cursors: DataFrame, width: int = 4096) -> DataFrame:
@@ -34,11 +36,13 @@ def node_at_cursor(nodes: DataFrame, cursors: DataFrame, width: int = 4096) -> D
 
 def surrounding_lines(text: Column, line: Column, around: int = AROUND) -> Column:
     """Up to ``around`` lines before and behind the cursor's line, which is clamped to the text."""
-    rows = lines(text)
-    at = F.least(F.greatest(line, F.lit(0)), F.greatest(F.size(rows) - 1, F.lit(0)))
-    first = F.greatest(at - around, F.lit(0))
-    last = F.least(at + around, F.size(rows) - 1)
-    return F.when(F.size(rows) == 0, F.lit("")).otherwise(F.array_join(F.slice(rows, first + 1, F.greatest(last - first + 1, F.lit(0))), "\n"))
+    def near(rows: Column) -> Column:
+        at = F.least(F.greatest(line, F.lit(0)), F.greatest(F.size(rows) - 1, F.lit(0)))
+        first = F.greatest(at - around, F.lit(0))
+        last = F.least(at + around, F.size(rows) - 1)
+        return F.when(F.size(rows) == 0, F.lit("")).otherwise(F.array_join(F.slice(rows, first + 1, F.greatest(last - first + 1, F.lit(0))), "\n"))
+
+    return bind(lines(text), near)
 
 
 def pack(ordered: Column, budget: int = DEPENDENCY_BUDGET, most: int = MOST_DEPENDENCIES) -> Column:

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
 from ..runtime import clash_free
 
 DEFAULT_SCALE = 6.0
@@ -39,10 +43,12 @@ def lexical_search(postings: DataFrame, query: str, k: int = 10, scale: float =
 
 def trigrams(text: Column) -> Column:
     """Lower-case runs of three code points in order; a shorter text is its own only one, an empty one has none."""
-    low = F.lower(text)
-    length = F.length(low)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(length - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
-    return F.when(length == 0, F.array().cast("array<string>")).when(length < 3, F.array(low)).otherwise(runs)
+    def runs(low: Column) -> Column:
+        length = F.length(low)
+        parts = F.transform(F.sequence(F.lit(1), F.greatest(length - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
+        return F.when(length == 0, F.array().cast("array<string>")).when(length < 3, F.array(low)).otherwise(parts)
+
+    return bind(F.lower(text), runs)
 
 
 def trigram_index(chunks: DataFrame, id_column: str = "chunk_id", text_column: str = "text") -> DataFrame:
@@ -57,18 +63,27 @@ def trigram_search(chunks: DataFrame, query: str, k: int = 10, id_column: str =
     jaccard compares the sets of trigrams, score counts pairs of equal trigrams; ties go to the smaller id.
     Everything about one chunk is computed where its text is read; only the best k of each partition move.
     """
-    low = query.lower()
-    grams = [low[i : i + 3] for i in range(len(low) - 2)] or ([low] if low else [])
-    counts = {g: grams.count(g) for g in grams}
-    own = trigrams(F.col(text_column))
-    rows = chunks.select(F.col(id_column).alias("id"), own.alias("grams")).filter("id is not null and size(grams) > 0")
-    wanted = F.array(*(F.lit(g) for g in counts)) if counts else F.array().cast("array<string>")
-    shared = F.size(F.array_intersect("grams", wanted))
-    union = F.size(F.array_distinct("grams")) + len(counts) - shared
-    times = F.create_map(*(F.lit(x) for kv in counts.items() for x in kv)) if counts else F.create_map(F.lit(""), F.lit(0))
-    score = F.aggregate("grams", F.lit(0).cast("long"), lambda total, g: total + F.coalesce(F.element_at(times, g), F.lit(0)))
-    out = rows.filter(F.arrays_overlap("grams", wanted)).select("id", (shared / union).alias("jaccard"), score.alias("score"))
-    return out.orderBy(F.desc("jaccard"), F.desc("score"), "id").limit(max(k, 0))
+    def grams_of(text: str) -> list[str]:
+        low = text.lower()
+        return [low[i : i + 3] for i in range(len(low) - 2)] if len(low) > 2 else [low] * bool(low)
+
+    wanted = Counter(grams_of(query))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for id_, text in zip(batch["id"], batch["text"]):
+                grams = grams_of(text)
+                score = sum(map(wanted.__getitem__, grams))
+                if score:
+                    own = set(grams)
+                    shared = len(own & wanted.keys())
+                    out.append((id_, shared / (len(own) + len(wanted) - shared), score))
+            yield pd.DataFrame(out, columns=["id", "jaccard", "score"])
+
+    rows = chunks.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).dropna()
+    found = rows.mapInPandas(compare, f"id {dict(rows.dtypes)['id']}, jaccard double, score long")
+    return found.orderBy(F.desc("jaccard"), F.desc("score"), "id").limit(max(k, 0))
 
 
 def replace_chunks(index: DataFrame, chunks: DataFrame, **names: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +23,13 @@ def pair_hash(left: Column, right: Column) -> Column:
     return F.sha2(F.concat(_length(left), left.cast("binary"), right.cast("binary")), 256)
 
 
-def _fold(hashes: Column) -> Column:
-    """One level of the tree over an array: neighbours joined, an odd last one passed on."""
-    return F.transform(F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / 2).cast("int")), lambda i: F.when(F.get(hashes, 2 * i + 1).isNull(), F.get(hashes, 2 * i)).otherwise(pair_hash(F.get(hashes, 2 * i), F.get(hashes, 2 * i + 1))))
+def _fold(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+    """The top of one full or last block of leaves: neighbours joined level by level, an odd last one passed on."""
+    hashes = block.sort_values("pos")["hash"].tolist()
+    while len(hashes) > 1:
+        pairs = [hashlib.sha256(len(a.encode()).to_bytes(8, "little") + a.encode() + b.encode()).hexdigest() for a, b in zip(hashes[::2], hashes[1::2])]
+        hashes = pairs + hashes[len(hashes) - len(hashes) % 2 :]
+    return pd.DataFrame({"pos": [key[0]], "hash": hashes})
 
 
 def merkle_levels(leaves: DataFrame) -> DataFrame:
@@ -51,12 +58,7 @@ def merkle_root(leaves: DataFrame) -> DataFrame:
     level = cut(dense_ids(own, ["chunk_id"]).select(F.col("dense_id").alias("pos"), "hash"))
     count = level.count()
     while count > 1:
-        blocks = level.groupBy(F.floor(F.col("pos") / BLOCK).cast("long").alias("pos")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "hash"))), lambda e: e["hash"]).alias("hashes"))
-        folded = F.col("hashes")
-        blocks = blocks.select("pos", "hashes")
-        for _ in range(BLOCK.bit_length() - 1):
-            blocks = blocks.select("pos", F.when(F.size("hashes") > 1, _fold(folded)).otherwise(F.col("hashes")).alias("hashes"))
-        level = cut(blocks.select("pos", F.get("hashes", F.lit(0)).alias("hash")))
+        level = cut(level.withColumn("block", F.floor(F.col("pos") / BLOCK).cast("long")).groupBy("block").applyInPandas(_fold, "pos long, hash string"))
         count = -(-count // BLOCK)
     return level.select(F.col("hash").alias("root"))
 

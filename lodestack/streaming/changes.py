@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.lexical import replace_chunks
 from ..operators.memory import WINDOW, boost_of_age, seconds_between
 from ..operators.merkle import tree_diff
+from ..runtime import shuffle_width
 from ..sources.files import SKIPPED, normal_path
 
 BURST, REFILL = 60.0, 10.0
@@ -139,14 +140,24 @@ def _allow(times: list[float], tokens: float, last: float | None, burst: float,
 
 def token_bucket(events: DataFrame, key: str, burst: float = BURST, refill: float = REFILL, time: str = "ts", order: str = "event_id") -> DataFrame:
     """key, order, allowed of each event of a table, in order of time."""
-    def decide(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["__t", order])
-        group["allowed"] = _allow(group["__t"].tolist(), max(burst, 1.0), None, burst, refill)[0]
-        return group[[key, order, "allowed"]]
+    full = max(burst, 1.0)
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, tokens, last = None, full, None
+        for batch in batches:
+            allowed: list[bool] = []
+            for own, rows in batch.groupby(key, sort=False):
+                if own != now:
+                    now, tokens, last = own, full, None
+                out, tokens, last = _allow(rows["__t"].tolist(), tokens, last, burst, refill)
+                allowed += out
+            batch["allowed"] = allowed
+            yield batch[[key, order, "allowed"]]
 
     rows = events.select(key, order, F.col(time).cast("timestamp").cast("double").alias("__t")).dropna()
     kinds = dict(rows.dtypes)
-    return rows.groupBy(key).applyInPandas(decide, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean")
+    sorted_ = rows.repartition(shuffle_width(events.sparkSession), key).sortWithinPartitions(key, "__t", order)
+    return sorted_.mapInPandas(decide, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean")
 
 
 def limited(events: DataFrame, key: str, burst: float = BURST, refill: float = REFILL, order: str = "event_id") -> DataFrame:
