@@ -6,13 +6,39 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package once per application, so that they need no path to the repository.
+
+    The driver serves the archive; executors fetch it, also those that join later.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = Path(__file__).resolve().parent
+    try:
+        archive = Path(tempfile.mkdtemp(prefix="lodestack-code-")) / "lodestack.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, Path(package.name) / file.relative_to(package))
+        context.addPyFile(str(archive))
+    except OSError:
+        pass  # then the executors have to find the package themselves
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One input table; timestamps keep their stored kind, columns are pruned by the reader."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
