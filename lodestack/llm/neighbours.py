@@ -24,7 +24,7 @@ from .graphindex import build, search
 
 SAMPLE_ROWS = 32_768  #: the most vectors that centroids are fitted on
 SHARD_ROWS = 2_048
-PROBES = 3
+PROBES = 4
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
@@ -84,7 +84,7 @@ def nearest(
     shard_rows: int = SHARD_ROWS,
     probes: int = PROBES,
     sample_rows: int = SAMPLE_ROWS,
-    width: int = 24,
+    width: int = 32,
     degree: int = 10,
 ) -> DataFrame:
     """The k most similar others of each vector.

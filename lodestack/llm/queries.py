@@ -29,7 +29,7 @@ def p3_search(spark: SparkSession, folder: str) -> DataFrame:
     """The ten most similar chunks of every chunk whose hash is divisible by 50, against all chunks."""
     chunks = neighbours.current_chunks(table(spark, folder, "vector_store"))
     asked = chunks.filter(fingerprint("id") % 50 == 0).select("id")
-    found = neighbours.nearest(chunks, queries=asked)
+    found = neighbours.nearest(chunks, queries=asked, probes=6, width=48)
     return found.select(F.col("id").alias("chunk_id"), "neighbour", F.round("similarity", 4).alias("similarity"), "rank")
 
 
