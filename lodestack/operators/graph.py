@@ -112,17 +112,20 @@ def reachable(edges: DataFrame, start: DataFrame, kinds: tuple[str, ...] = ("cal
     return seen
 
 
-def graph_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node_id, name, kind and its sorted incoming and outgoing edges as JSON text: equal graphs give equal texts.
+def graph_document(nodes: DataFrame, edges: DataFrame, page_edges: int = 50_000) -> DataFrame:
+    """node_id, page, name, kind and sorted incoming and outgoing edges as JSON text: equal graphs give equal texts.
 
-    Edges are kept in rows of at most one node; a node with very many is split by the reader's own paging.
+    A node with more than ``page_edges`` edges on one side has several pages, told by a hash of the edge.
     """
     own = clean_edges(edges, nodes)
     def side(key: str, other: str, name: str) -> DataFrame:
-        return own.groupBy(F.col(key).alias("node_id")).agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col(other).alias("node"), "kind")))).alias(name))
+        pages = own.groupBy(F.col(key).alias("node_id")).agg(F.ceil(F.count("*") / page_edges).alias("pages"))
+        paged = own.select(F.col(key).alias("node_id"), F.col(other).alias("node"), "kind").join(pages, "node_id").withColumn("page", F.pmod(F.xxhash64("node", "kind"), F.col("pages")))
+        return paged.groupBy("node_id", "page").agg(F.to_json(F.sort_array(F.collect_list(F.struct("node", "kind")))).alias(name))
     rows = distinct_nodes(nodes.select("node_id", "tracker_id", "name", "kind")).select("node_id", "name", "kind")
-    out = rows.join(side("dst", "src", "incoming"), "node_id", "left").join(side("src", "dst", "outgoing"), "node_id", "left")
-    return out.select("node_id", "name", "kind", F.coalesce("incoming", F.lit("[]")).alias("incoming"), F.coalesce("outgoing", F.lit("[]")).alias("outgoing"))
+    sides = side("dst", "src", "incoming").join(side("src", "dst", "outgoing"), ["node_id", "page"], "full_outer")
+    out = rows.join(sides, "node_id", "left")
+    return out.select("node_id", F.coalesce("page", F.lit(0)).alias("page"), "name", "kind", F.coalesce("incoming", F.lit("[]")).alias("incoming"), F.coalesce("outgoing", F.lit("[]")).alias("outgoing"))
 
 
 def edges_of_document(document: DataFrame) -> DataFrame:
