@@ -206,16 +206,17 @@ FOUND = "node_id long, line_no long, begin long, start long, end long, kind stri
 def scan(nodes: DataFrame, id_column: str = "node_id", text_column: str = "source", folder: str = TOKENIZER_FOLDER) -> DataFrame:
     """A row for each part of a credential: line_no (zero-based, split at newline) and code point offsets.
 
-    Null ids or texts and empty texts give no rows, repeated rows are scanned once, empty tables give none.
+    Null ids or texts and empty texts give no rows, repeated rows count once, empty tables give none.
     """
-    rows = nodes.select(nodes[id_column].cast("long").alias("node_id"), nodes[text_column].alias("text")).filter("node_id is not null and text is not null and text <> ''").distinct()
+    rows = nodes.select(nodes[id_column].cast("long").alias("node_id"), nodes[text_column].alias("text")).filter("node_id is not null and text is not null and text <> ''")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [(n, t.count("\n", 0, s.begin), *s) for n, t in zip(batch["node_id"], batch["text"]) for s in find_credentials(t, folder)]
             yield pd.DataFrame(out, columns=["node_id", "line_no", "begin", "start", "end", "kind"])
 
-    return rows.mapInPandas(search, FOUND)
+    # repeats are dropped from what was found: the texts themselves never pass a shuffle
+    return rows.mapInPandas(search, FOUND).distinct()
 
 
 def redact(nodes: DataFrame, id_column: str = "node_id", text_column: str = "source", folder: str = TOKENIZER_FOLDER) -> DataFrame:
