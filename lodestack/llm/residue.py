@@ -170,14 +170,15 @@ def flag(documents: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     Null ids, null and empty texts give no rows; repeated rows count once; an empty table gives none.
     """
-    rows = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].alias("text")).filter("doc_id is not null and text is not null").distinct()
+    rows = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].alias("text")).filter("doc_id is not null and text is not null")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch["reasons"] = [reasons(t) for t in batch.pop("text")]
             yield batch[batch["reasons"].str.len() > 0]
 
-    return rows.mapInPandas(judge, "doc_id long, reasons array<string>")
+    # repeats are dropped from what was found: the texts themselves never pass a shuffle
+    return rows.mapInPandas(judge, "doc_id long, reasons array<string>").distinct()
 
 
 def residue_documents(documents: DataFrame) -> DataFrame:
