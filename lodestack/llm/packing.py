@@ -72,13 +72,14 @@ def pack(deps: DataFrame, windows: DataFrame, lane_rows: int = LANE_ROWS, most_o
     stored tokens. Exact repeats of a row are packed once. Rows without dep_id, without size, or whose
     window is unknown or has no positive capacity are left out. Empty tables give no rows.
     """
-    rows = clash_free(deps, "dep_id", "window_id", "text", "tokens").distinct()
+    rows = clash_free(deps, "dep_id", "window_id", "text", "tokens")
     rooms = windows.select(windows["window_id"].cast("int").alias("window_id"), windows["capacity"].cast("long").alias("capacity")).filter("capacity > 0").groupBy("window_id").agg(F.max("capacity").alias("capacity"))
-    rows = rows.select(F.col("dep_id").cast("long").alias("dep_id"), F.col("window_id").cast("int").alias("window_id"), "text", F.coalesce(token_estimate(F.col("text")), F.when(F.col("tokens") < 0, F.lit(0)).otherwise(F.col("tokens"))).cast("long").alias("tokens"))
-    rows = rows.join(rooms, "window_id").dropna(subset=["dep_id", "tokens"])
-    # the text itself travels only where it has to be cut
-    rows = rows.withColumn("text", F.when(F.col("tokens") > F.col("capacity"), F.col("text"))).withColumn("at", fingerprint("dep_id", "tokens", "text"))
-    sized = cut(rows)
+    rows = rows.select(F.col("dep_id").cast("long").alias("dep_id"), F.col("window_id").cast("int").alias("window_id"), "text", "tokens", F.coalesce(token_estimate(F.col("text")), F.when(F.col("tokens") < 0, F.lit(0)).otherwise(F.col("tokens"))).cast("long").alias("size"))
+    rows = rows.join(rooms, "window_id").dropna(subset=["dep_id", "size"])
+    # A text travels only where it has to be cut; repeats are told by two hashes of it.
+    rows = rows.withColumn("same", F.concat_ws(":", F.md5("text"), F.xxhash64("text", "tokens").cast("string"), F.col("text").isNull().cast("string")))
+    rows = rows.select("dep_id", "window_id", "capacity", F.col("size").alias("tokens"), "same", F.when(F.col("size") > F.col("capacity"), F.col("text")).alias("text")).distinct()
+    sized = cut(rows.withColumn("at", fingerprint("dep_id", "same")).drop("same"))
     lanes = sized.groupBy("window_id").agg(F.ceil(F.count("*") / lane_rows).cast("int").alias("lanes"))
     spread = sized.join(lanes, "window_id").withColumn("lane", (F.col("at") % F.col("lanes")).cast("int"))
 
