@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 TEST_MARKERS = ("test result", "failures:", "FAILED", "failed", "error", "Error", "panic", "panicked", "assertion", "Caused by", "backtrace", "Tests:", "Suites:", "Time:", "running ", "Compiling", "warning:", "expected", "actual", "at ")
 FAILURE_WORDS = ("error", "fail", "panic", "FAILED", "exception", "traceback", "✕", "×")
 TEST_RUNNERS = ("cargo test", "jest", "pytest", "npm test", "yarn test", "go test", "mocha")
-INTERACTIVE = ("vim", "vi", "nano", "emacs", "less", "more", "top", "htop", "man", "ssh", "telnet", "ftp", "sftp")
+INTERACTIVE = ("vim", "vi", "nano", "emacs", "top", "htop", "ssh", "less", "more", "man")
 ANSI = r"\x1b\[[0-9;]*[a-zA-Z]|\x1b\][^\x07]*\x07|\x1b[()][AB0]"
 PROGRESS = r"\[[=>.\s]*\]"
 PATH_LINE = r"[A-Za-z0-9_./-]+:\d+"
@@ -27,7 +27,7 @@ FOLD_PHRASES = {
     "sql": ("SELECT ", "INSERT INTO ", "UPDATE ", "DELETE FROM ", "CREATE TABLE ", "ALTER TABLE ", "WHERE ", "GROUP BY ", "ORDER BY ", "LEFT JOIN ", "INNER JOIN ", "JOIN "),
 }
 # The signs of folded phrases, in order of use.
-GLYPHS = "αβγδεζηθικλμνξοπρστυφχψω"
+GLYPHS = "§ø∆¶æßðþŋħƿǽœƀđıȷɱɲɸʂʄʍʎ"
 
 
 def bind(value: Column, body) -> Column:
@@ -63,7 +63,7 @@ def is_test_runner(command: Column) -> Column:
 
 def interactive_word(command: Column) -> Column:
     """The first word of a command line that would wait for a terminal; null if there is none."""
-    return F.get(F.filter(F.split(F.trim(command), r"\s+"), lambda w: w.isin(*INTERACTIVE)), F.lit(0))
+    return F.get(F.filter(F.split(command, r"[^A-Za-z0-9_./-]+"), lambda w: w.isin(*INTERACTIVE)), F.lit(0))
 
 
 def filter_test_lines(parts: Column) -> Column:
@@ -123,32 +123,37 @@ def language_of(path: Column) -> Column:
     return F.when(ending.isin("ts", "tsx"), "typescript").when(ending.isin("js", "jsx", "mjs"), "javascript").when(ending == "py", "python").when(ending == "sql", "sql").otherwise("rust")
 
 
-def fold_table(language: str) -> list[tuple[str, str]]:
-    """(phrase, sign), longest phrase first."""
-    phrases = sorted(FOLD_PHRASES.get(language, FOLD_PHRASES["rust"]), key=lambda p: -len(p.encode()))
-    return list(zip(phrases, GLYPHS))
+def fold_phrases(language: str) -> list[str]:
+    """The phrases of a language, longest first; none for an unknown one."""
+    return sorted(FOLD_PHRASES.get(language, ()), key=lambda p: -len(p.encode()))
 
 
 def fold(text: Column, language: str) -> Column:
-    """Phrases to signs; a text that holds one of the signs already stays as it is, so unfolding is exact."""
-    out = text
-    for phrase, glyph in fold_table(language):
-        out = F.replace(out, F.lit(phrase), F.lit(glyph))
-    return F.when(F.rlike(text, F.lit(f"[{GLYPHS}]")), text).otherwise(out)
+    """Struct of text and decoder (sign, phrase): each phrase that occurs becomes the next sign.
 
+    A text that holds one of the signs already stays as it is, so unfolding is exact.
+    """
+    signs = F.array(*(F.lit(g) for g in GLYPHS))
+    none = F.array().cast("array<struct<sign: string, phrase: string>>")
+    phrases = F.array(*(F.lit(p) for p in fold_phrases(language))).cast("array<string>")
 
-def unfold(text: Column, language: str) -> Column:
-    out = text
-    for phrase, glyph in fold_table(language):
-        out = F.replace(out, F.lit(glyph), F.lit(phrase))
-    return out
+    def step(state: Column, phrase: Column) -> Column:
+        sign = F.get(signs, F.size(state["decoder"]))
+        folded = F.struct(F.replace(state["text"], phrase, sign).alias("text"), F.concat(state["decoder"], F.array(F.struct(sign.alias("sign"), phrase.alias("phrase")))).alias("decoder"))
+        return F.when(F.contains(state["text"], phrase) & (F.size(state["decoder"]) < len(GLYPHS)), folded).otherwise(state)
 
+    start = F.struct(text.alias("text"), none.alias("decoder"))
+    return F.when(F.rlike(text, F.lit(f"[{GLYPHS}]")), start).otherwise(F.aggregate(phrases, start, step))
 
-def fold_legend(text: Column, language: str) -> Column:
-    """The signs that a folded text uses and what they stand for, in one line; empty if it uses none."""
-    used = F.filter(F.array(*(F.struct(F.lit(g).alias("sign"), F.lit(p).alias("phrase")) for p, g in fold_table(language))), lambda e: F.contains(text, e["sign"]))
-    shown = F.transform(used, lambda e: F.concat(e["sign"], F.lit("="), e["phrase"]))
-    return F.when(F.size(used) == 0, F.lit("")).otherwise(F.concat(F.lit("// symbols: "), F.array_join(shown, ", ")))
+
+def unfold(folded: Column) -> Column:
+    return F.aggregate(folded["decoder"], folded["text"], lambda out, e: F.replace(out, e["sign"], e["phrase"]))
+
+
+def fold_legend(folded: Column) -> Column:
+    """The line before a folded text that tells what its signs stand for; empty if it has none."""
+    shown = F.array_join(F.transform(folded["decoder"], lambda e: F.concat(e["sign"], F.lit("="), e["phrase"])), ",")
+    return F.when(F.size(folded["decoder"]) == 0, F.lit("")).otherwise(F.concat(F.lit("// token-fold decoder: "), shown, F.lit("\n")))
 
 
 def contained_path(root: str, path: str) -> str | None:

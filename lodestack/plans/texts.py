@@ -56,9 +56,8 @@ def log_compressed(spark: SparkSession, folder: str) -> DataFrame:
 
 def symbols_folded(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes before and after folding, and whether unfolding gives the text back."""
-    folded = T.fold(F.col("text"), "rust")
-    back = T.unfold(folded, "rust") == F.col("text")
-    return _documents(spark, folder).select("doc_id", F.octet_length("text").alias("before"), F.octet_length(folded).alias("after"), (back | (folded == F.col("text"))).alias("same"))
+    rows = _documents(spark, folder).select("doc_id", "text", T.fold(F.col("text"), "rust").alias("folded"))
+    return rows.select("doc_id", F.octet_length("text").alias("before"), F.octet_length("folded.text").alias("after"), F.octet_length(T.fold_legend(F.col("folded"))).alias("legend"), (T.unfold(F.col("folded")) == F.col("text")).alias("same"))
 
 
 def path_languages(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,9 +78,11 @@ _BLANK = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}
 _LINES = "CASE WHEN text = '' THEN []::VARCHAR[] WHEN ends_with(text, chr(10)) THEN string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))[:-2] ELSE string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) END"
 _UN = "CASE WHEN len({0}) = 0 THEN '' ELSE array_to_string({0}, chr(10)) || chr(10) END"
 _SIGNS = "[^" + STANDALONE.replace("[", "\\[").replace("]", "\\]") + "]"
-_FOLD = "text"
-for _phrase, _glyph in T.fold_table("rust"):
-    _FOLD = f"replace({_FOLD}, {_str(_phrase)}, {_str(_glyph)})"
+_FOLD = "SELECT doc_id, text, text AS t, 0 AS n, 0 AS l FROM documents"
+for _phrase in T.fold_phrases("rust"):
+    _HAS = f"contains(t, {_str(_phrase)}) AND NOT regexp_matches(text, '[{T.GLYPHS}]')"
+    _SIGN = f"substr('{T.GLYPHS}', n + 1, 1)"
+    _FOLD = f"SELECT doc_id, text, CASE WHEN {_HAS} THEN replace(t, {_str(_phrase)}, {_SIGN}) ELSE t END AS t, n + CASE WHEN {_HAS} THEN 1 ELSE 0 END AS n, l + CASE WHEN {_HAS} THEN strlen({_SIGN}) + 2 + {len(_phrase)} ELSE 0 END AS l FROM ({_FOLD})"
 _ANY_FAIL = " OR ".join(f"contains(x, {_str(w)})" for w in T.FAILURE_WORDS)
 _ANY_TEST = " OR ".join(f"contains(x, {_str(w)})" for w in T.TEST_MARKERS)
 
@@ -115,8 +116,7 @@ SQL = {
         SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE md5({_UN.format("l")}) END AS digest FROM t
     """,
     "symbols_folded": f"""
-        WITH f AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '[{T.GLYPHS}]') THEN text ELSE {_FOLD} END AS f FROM documents)
-        SELECT doc_id, strlen(text)::INT AS before, strlen(f)::INT AS after, CASE WHEN text IS NULL THEN NULL ELSE true END AS same FROM f
+        SELECT doc_id, strlen(text)::INT AS before, strlen(t)::INT AS after, CASE WHEN text IS NULL THEN NULL WHEN n = 0 THEN 0 ELSE l + {len("// token-fold decoder: ")} END::INT AS legend, CASE WHEN text IS NULL THEN NULL ELSE true END AS same FROM ({_FOLD})
     """,
     "path_languages": """
         WITH e AS (SELECT lower(regexp_extract(file_path, '\\.([A-Za-z]+)$', 1)) AS e FROM nodes)

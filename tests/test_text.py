@@ -51,9 +51,11 @@ def test_log_of_a_test_run_shrinks(spark):
 def test_fold_round_trip_and_collision(spark):
     code = "pub fn a() -> u8 { self.x::y() }"
     folded = one(spark, lambda c: T.fold(c, "rust"), code)
-    assert len(folded) < len(code) and one(spark, lambda c: T.unfold(c, "rust"), folded) == code
-    assert one(spark, lambda c: T.fold(c, "rust"), "α pub fn a") == "α pub fn a"
-    assert one(spark, lambda c: T.fold_legend(c, "rust"), folded).startswith("// symbols: ")
+    assert folded.text == "§a() ¶ u8 { øx∆y() }" and [e.phrase for e in folded.decoder] == ["pub fn ", "self.", "::", "->"]
+    assert one(spark, lambda c: T.unfold(T.fold(c, "rust")), code) == code
+    assert one(spark, lambda c: T.fold(c, "rust"), "ß pub fn a").text == "ß pub fn a"
+    assert one(spark, lambda c: T.fold_legend(T.fold(c, "rust")), code) == "// token-fold decoder: §=pub fn ,ø=self.,∆=::,¶=->\n"
+    assert one(spark, lambda c: T.fold_legend(T.fold(c, "cobol")), code) == ""
 
 
 def test_indent_language_interactive(spark):
