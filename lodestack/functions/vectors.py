@@ -31,6 +31,25 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(x, y) / size).otherwise(F.lit(0.0))
 
 
+def cosine_to(query: list[float]):
+    """A vectorised cosine with one fixed vector over the common length; 0 where either is empty or all zero."""
+    wanted = np.asarray(query, float)
+
+    @F.pandas_udf(DoubleType())
+    def similarity(vectors: pd.Series) -> pd.Series:
+        out = np.full(len(vectors), np.nan)
+        lengths = np.array([-1 if v is None else len(v) for v in vectors])
+        for length in np.unique(lengths[lengths >= 0]):
+            rows = np.flatnonzero(lengths == length)
+            width = min(int(length), len(wanted))
+            x, y = np.stack(vectors.iloc[rows].to_list()).astype(float)[:, :width], wanted[:width]
+            size = np.sqrt((x * x).sum(1) * (y @ y))
+            out[rows] = np.where(size > 0, x @ y / np.where(size > 0, size, 1.0), 0.0)
+        return pd.Series(out).where(lengths >= 0, None)
+
+    return similarity
+
+
 MOCK_DIMS = 64
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, searchable_text
+from ..functions.vectors import cosine_to, searchable_text
 from .community import proximity
 from .graph import searchable
 from .lexical import lexical_search
@@ -86,9 +86,14 @@ def best_fused(fused: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFram
     return fused.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("position") <= k)
 
 
-def semantic_search(vectors: DataFrame, query: Column, k: int, floor: float = FLOOR, id_column: str = "node_id", vector_column: str = "embedding") -> DataFrame:
+def query_vector(spark: SparkSession, query: str, embed) -> list[float]:
+    """A query under an embedding expression, computed once."""
+    return list(spark.range(1).select(embed(F.lit(query))).first()[0])
+
+
+def semantic_search(vectors: DataFrame, query: list[float], k: int, floor: float = FLOOR, id_column: str = "node_id", vector_column: str = "embedding") -> DataFrame:
     """node_id, score of the k vectors of largest cosine with one query vector, none below the floor."""
-    rows = vectors.select(F.col(id_column).alias("node_id"), cosine(F.col(vector_column), query).alias("score"))
+    rows = vectors.select(F.col(id_column).alias("node_id"), cosine_to(query)(F.col(vector_column)).alias("score"))
     return rows.filter((F.col("score") >= floor) & F.col("node_id").isNotNull()).orderBy(F.desc("score"), "node_id").limit(max(k, 0))
 
 
@@ -129,7 +134,7 @@ def hybrid_search(
     pool = pool or k * 4
     ids = found.select("node_id")
     lexical = lexical_search(postings.join(ids, "node_id", "left_semi"), query, pool)
-    semantic = semantic_search(vectors.join(ids, "node_id", "left_semi"), embed(F.lit(query)), pool)
+    semantic = semantic_search(vectors.join(ids, "node_id", "left_semi"), query_vector(spark, query, embed), pool)
     lists = [spark.createDataFrame(x.collect(), "node_id long, score double") for x in (lexical, semantic)]  # at most ``pool`` rows each
     seeds = walk_seeds(lists[0], lists[1], context)
     walk = pagerank(nodes, edges, seeds, rounds=rounds).filter("score > 0").join(ids, "node_id", "left_semi").orderBy(F.desc("score"), "node_id").limit(pool)

@@ -71,7 +71,7 @@ def fallback_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nodes whose text is nearest to the query under embeddings that need no model."""
     texts = fusion.node_texts(table(spark, folder, "nodes"))
     vectors = texts.select("node_id", fallback_embedding("text").alias("embedding"))
-    return fusion.semantic_search(vectors, fallback_embedding(F.lit(QUERY)), 10).select("node_id", F.round("score", 6).alias("score"))
+    return fusion.semantic_search(vectors, fusion.query_vector(spark, QUERY, fallback_embedding), 10).select("node_id", F.round("score", 6).alias("score"))
 
 
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
