@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import tempfile
+from array import array
 from collections import defaultdict
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, fingerprint
+from ..runtime import cut
 from .graph import COMMUNITY_WEIGHTS, clean_edges, dense_ids, kind_weight
 
 SMALL_EDGES = 200_000
@@ -20,61 +26,86 @@ def undirected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return rows.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("w").alias("w"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, small_edges: int = SMALL_EDGES) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, small_edges: int = SMALL_EDGES, sweeps: int = SWEEPS) -> DataFrame:
     """node_id, community (numbered from 0 by the first node that has it).
 
-    Nodes move to the neighbouring community that gains most, then communities are split into their
-    connected parts. A graph of at most ``small_edges`` pairs is done in the order of ids, one node after
-    the other; a larger one in rounds in which a random half of the nodes moves at once, so its communities
-    may differ from those of the sequential order.
+    Nodes move in the order of ids, one after the other, to the neighbouring community that gains most, then
+    communities are split into their connected parts. ``small_edges`` only says where that is done: a graph of
+    at most so many pairs in the driver, a larger one in one task that keeps its links in a file, with the
+    same result. A graph that is still moving after ``sweeps`` rounds raises an error.
     """
     spark = nodes.sparkSession
     ids = nodes.select("node_id").dropna().distinct()
     pairs = cut(undirected(edges, nodes))
     if pairs.count() <= small_edges and ids.count() <= small_edges:
-        found = sequential(sorted(r[0] for r in ids.collect()), [tuple(r) for r in pairs.collect()], resolution)
+        found = sequential(sorted(r[0] for r in ids.collect()), [tuple(r) for r in pairs.collect()], resolution, sweeps)
         return spark.createDataFrame(list(found.items()), "node_id long, community long")
-    moved = _in_rounds(ids, pairs, resolution)
+    moved = cut(_in_one_task(ids, pairs, resolution, sweeps))
     parts = cut(connected(ids, pairs, moved))
     # a part is named by its first node, so ranking the parts numbers them by first nodes
     label = dense_ids(parts.select("part").distinct(), ["part"]).withColumnRenamed("dense_id", "community")
     return parts.join(label, "part").select("node_id", "community")
 
 
-def sequential(ids: list[int], pairs: list[tuple[int, int, float]], resolution: float = 1.0) -> dict[int, int]:
-    """Local moving in order of ids and the split into connected parts, for graphs that fit one process."""
-    near: dict[int, list[tuple[int, float]]] = {i: [] for i in ids}
-    loop: dict[int, float] = defaultdict(float)
-    for a, b, w in sorted(pairs):
-        if a == b:
-            loop[a] += w
-        else:
-            near[a].append((b, w))
-            near[b].append((a, w))
-    degree = {i: sum(w for _, w in near[i]) + loop[i] for i in ids}
-    twice = max(2.0 * (sum(w for i in ids for _, w in near[i]) / 2 + sum(loop.values())), 5e-324)
-    home = {i: i for i in ids}
-    total = dict(degree)
-    for _ in range(SWEEPS):
+def local_moving(begin: np.ndarray, other: np.ndarray, weight: np.ndarray, resolution: float = 1.0, sweeps: int = SWEEPS) -> array:
+    """The community of every node after moving in order: links of node i are those from begin[i] to begin[i + 1].
+
+    A link of a node to itself is a loop. Besides the links, which may be mapped files, it takes four numbers a node.
+    """
+    count = len(begin) - 1
+    degree, loop = array("d", bytes(8 * count)), array("d", bytes(8 * count))
+
+    def links_of(i: int) -> zip:
+        return zip(other[begin[i] : begin[i + 1]].tolist(), weight[begin[i] : begin[i + 1]].tolist())
+
+    def plain() -> Iterator[float]:
+        for i in range(count):
+            apart = [w for j, w in links_of(i) if j != i]
+            loop[i] = sum(w for j, w in links_of(i) if j == i)
+            degree[i] = sum(apart) + loop[i]
+            yield from apart
+
+    twice = max(2.0 * (math.fsum(plain()) / 2 + math.fsum(loop)), 5e-324)
+    home, total = array("q", range(count)), array("d", degree)
+    for _ in range(sweeps):
         changed = False
-        for i in ids:
-            old = home[i]
-            total[old] -= degree[i]
+        for i in range(count):
+            old, own = home[i], degree[i]
+            total[old] -= own
             links: dict[int, float] = defaultdict(float)
-            for j, w in near[i]:
-                links[home[j]] += w
+            for j, w in links_of(i):
+                if j != i:
+                    links[home[j]] += w
             if loop[i] > 0:
                 links[old] += loop[i]
             best, gain = old, float("-inf")
             for c in sorted(links):
-                g = links[c] - resolution * total[c] * degree[i] / twice
+                g = links[c] - resolution * total[c] * own / twice
                 if g > gain + 1e-12:
                     best, gain = c, g
-            total[best] += degree[i]
+            total[best] += own
             if best != old:
                 home[i], changed = best, True
         if not changed:
-            break
+            return home
+    if not count:
+        return home
+    raise RuntimeError(f"communities still move after {sweeps} sweeps over {count} nodes")
+
+
+def sequential(ids: list[int], pairs: list[tuple[int, int, float]], resolution: float = 1.0, sweeps: int = SWEEPS) -> dict[int, int]:
+    """Local moving in order of ids and the split into connected parts, for graphs that fit one process."""
+    near: dict[int, list[tuple[int, float]]] = {i: [] for i in ids}
+    for a, b, w in sorted(pairs):
+        near[a].append((b, w))
+        if a != b:
+            near[b].append((a, w))
+    at = {i: n for n, i in enumerate(ids)}
+    begin = np.cumsum([0, *(len(near[i]) for i in ids)])
+    other = np.array([at[j] for i in ids for j, _ in near[i]], dtype=np.int64)
+    weight = np.array([w for i in ids for _, w in near[i]], dtype=np.float64)
+    moved = local_moving(begin, other, weight, resolution, sweeps)
+    home = {i: moved[n] for n, i in enumerate(ids)}
     # every part gets the number of its first node, in order of first nodes
     label: dict[int, int] = {}
     count = 0
@@ -92,26 +123,39 @@ def sequential(ids: list[int], pairs: list[tuple[int, int, float]], resolution:
     return label
 
 
-def _in_rounds(ids: DataFrame, pairs: DataFrame, resolution: float, rounds: int = 20) -> DataFrame:
-    both = pairs.filter("a <> b").select(F.col("a").alias("node_id"), F.col("b").alias("other"), "w")
-    both = cut(both.unionByName(both.select(F.col("other").alias("node_id"), F.col("node_id").alias("other"), "w")))
-    degree = cut(both.groupBy("node_id").agg(F.sum("w").alias("k")))
-    twice = degree.agg(F.sum("k")).first()[0] or 1.0
-    home = ids.withColumn("community", F.col("node_id"))
-    for number in range(rounds):
-        sized = home.join(degree, "node_id")
-        total = sized.groupBy("community").agg(F.sum("k").alias("total"))
-        links = both.join(home.select(F.col("node_id").alias("other"), "community"), "other").groupBy("node_id", "community").agg(F.sum("w").alias("links"))
-        old = sized.select("node_id", F.col("community").alias("old"), "k")
-        gain = F.col("links") - resolution * (F.col("total") - F.when(F.col("community") == F.col("old"), F.col("k")).otherwise(0.0)) * F.col("k") / twice
-        best = links.join(total, "community").join(old, "node_id").withColumn("gain", F.round(gain, 10)).groupBy("node_id").agg(F.max_by("community", F.struct("gain", -F.col("community"))).alias("best"))
-        turn = fingerprint("node_id", F.lit(number)) % 2 == 0
-        wanted = F.coalesce("best", "community")
-        after = cut(home.join(best, "node_id", "left").select("node_id", F.when(turn, wanted).otherwise(F.col("community")).alias("new"), (wanted != F.col("community")).alias("restless")))
-        home = after.select("node_id", F.col("new").alias("community"))
-        if after.filter("restless").limit(1).count() == 0:
-            break
-    return home
+def _in_one_task(ids: DataFrame, pairs: DataFrame, resolution: float, sweeps: int) -> DataFrame:
+    """node_id, community (named by one of its nodes) of :func:`local_moving`, links sorted by Spark and kept in files."""
+    links = pairs.select(F.col("a").alias("node_id"), F.col("b").alias("other"), "w")
+    back = pairs.filter("a <> b").select(F.col("b").alias("node_id"), F.col("a").alias("other"), "w")
+    alone = ids.select("node_id", F.col("node_id").alias("other"), F.lit(0.0).alias("w"))
+    rows = links.unionByName(back).unionByName(alone).repartition(1).sortWithinPartitions("node_id", "other")
+
+    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, begin, size = array("q"), array("q"), 0
+        with tempfile.TemporaryFile() as others, tempfile.TemporaryFile() as weights:
+            for batch in batches:
+                node = batch["node_id"].to_numpy(np.int64)
+                first = np.flatnonzero(np.diff(node, prepend=names[-1] if names else node[:1] - 1))
+                names.frombytes(node[first].tobytes())
+                begin.frombytes((first + size).astype(np.int64).tobytes())
+                others.write(batch["other"].to_numpy(np.int64).tobytes())
+                weights.write(batch["w"].to_numpy(np.float64).tobytes())
+                size += len(node)
+            if not size:
+                return
+            begin.append(size)
+            others.flush()
+            weights.flush()
+            name = np.frombuffer(names, dtype=np.int64)
+            other = np.asarray(np.memmap(others, dtype=np.int64, mode="r+"))
+            for at in range(0, size, 1_000_000):
+                other[at : at + 1_000_000] = np.searchsorted(name, other[at : at + 1_000_000])
+            weight = np.asarray(np.memmap(weights, dtype=np.float64, mode="r"))
+            home = np.frombuffer(local_moving(np.frombuffer(begin, dtype=np.int64), other, weight, resolution, sweeps), dtype=np.int64)
+            for at in range(0, len(name), 100_000):
+                yield pd.DataFrame({"node_id": name[at : at + 100_000], "community": name[home[at : at + 100_000]]})
+
+    return rows.mapInPandas(move, "node_id long, community long")
 
 
 def connected(ids: DataFrame, pairs: DataFrame, home: DataFrame) -> DataFrame:

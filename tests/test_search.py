@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,23 @@ def test_communities(spark):
     assert community.communities(empty, none).count() == 0
 
 
+def test_communities_are_the_same_wherever_they_are_found(spark):
+    rng = random.Random(3)
+    ends = [(rng.randrange(120), rng.randrange(120)) for _ in range(260)]
+    nodes, edges = _graph(spark, range(125), [(a, b, rng.choice(["calls", "references", "contains"])) for a, b in ends])
+    small = {tuple(r) for r in community.communities(nodes, edges).collect()}
+    assert len(small) == 125 and {tuple(r) for r in community.communities(nodes, edges, small_edges=0).collect()} == small
+    empty, none = _graph(spark, [], [])
+    assert community.communities(empty, none, small_edges=-1).count() == 0
+
+
+def test_communities_that_still_move_raise(spark):
+    nodes, edges = _graph(spark, range(6), [(a, b, "calls") for a, b in TRIANGLES])
+    for small_edges in (0, 100):
+        with pytest.raises(Exception, match="still move after 1 sweeps"):
+            community.communities(nodes, edges, small_edges=small_edges, sweeps=1).collect()
+
+
 def test_connected_parts_split_labels(spark):
     ids = spark.range(4).withColumnRenamed("id", "node_id")
     pairs = spark.createDataFrame([(0, 1, 1.0), (2, 3, 1.0)], "a long, b long, w double")
