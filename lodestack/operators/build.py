@@ -182,19 +182,48 @@ def resources(type_: Column, target: Column) -> Column:
     return F.array_distinct(F.transform(F.when(type_ == "sql", tables).otherwise(segments), lambda s: F.lower(s)))
 
 
-def bridge_edges(found: DataFrame, hub: int = 1_000) -> DataFrame:
+def _keyed(found: DataFrame) -> DataFrame:
+    """key, node_id: the query texts, endpoints and resources that at least two nodes share."""
+    exact = found.select("node_id", F.concat_ws(":", "type", "target").alias("key"))
+    named = found.select("node_id", F.explode(resources(F.col("type"), F.col("target"))).alias("r")).select("node_id", F.concat(F.lit("resource:"), "r").alias("key"))
+    keyed = cut(exact.unionByName(named).filter("node_id is not null").distinct())
+    return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("nodes")).filter("nodes > 1"), "key")
+
+
+def _classes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node_id, class) of nodes with the same keys, and the (class, other) that share a key, a class also with itself."""
+    signed = keyed.groupBy("node_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    classes = cut(signed.groupBy("keys").agg(F.min("node_id").alias("class")))
+    members = cut(signed.join(classes, "keys").select("node_id", "class"))
+    held = cut(classes.select("class", F.explode("keys").alias("key")))
+    return members, held.join(held.withColumnRenamed("class", "other"), "key").select("class", "other").distinct()
+
+
+def bridge_edges(found: DataFrame, hub: int | None = None) -> DataFrame:
     """Edges both ways between nodes that share a query text, an endpoint or a resource.
 
-    A key shared by more than ``hub`` nodes would link each of them with each: such nodes are linked with
-    the first node of the key instead, which keeps them in one another's reach with two steps.
+    Every ordered pair of the nodes of a key is linked, however many they are; nodes with the same keys are
+    compared once. Callers who want fewer edges may name a ``hub``: nodes of a key that more than ``hub``
+    share are then linked with the first node of the key only.
     """
-    exact = found.select("node_id", F.concat_ws(":", "type", "target").alias("key"))
-    named = found.select("node_id", F.explode(resources(F.col("type"), F.col("target"))).alias("r")).select("node_id", F.concat(F.lit("resource:"), "r").alias("key"))
-    keyed = cut(exact.unionByName(named).distinct())
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("nodes"), F.min("node_id").alias("first"))
-    rows = keyed.join(sizes.filter("nodes > 1"), "key")
-    few = rows.filter(F.col("nodes") <= hub).select("key", "node_id")
+    keyed = _keyed(found)
+    if hub is None:
+        members, linked = _classes(keyed)
+        ends = linked.join(members.withColumnRenamed("node_id", "src"), "class")
+        other = members.select(F.col("class").alias("other"), F.col("node_id").alias("dst"))
+        return ends.join(other, "other").filter("src <> dst").select("src", "dst", F.lit("bridge").alias("kind"))
+    first = keyed.groupBy("key").agg(F.min("node_id").alias("first"))
+    few = keyed.filter(F.col("nodes") <= hub).select("key", "node_id")
     pairs = few.join(few.withColumnRenamed("node_id", "dst"), "key").select(F.col("node_id").alias("src"), "dst")
-    star = rows.filter(F.col("nodes") > hub).select(F.col("first").alias("src"), F.col("node_id").alias("dst"))
+    star = keyed.filter(F.col("nodes") > hub).join(first, "key").select(F.col("first").alias("src"), F.col("node_id").alias("dst"))
     both = pairs.unionByName(star).unionByName(star.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return both.filter("src <> dst").distinct().withColumn("kind", F.lit("bridge"))
+
+
+def bridge_count(found: DataFrame) -> DataFrame:
+    """One row, edges: how many :func:`bridge_edges` gives, counted without making them."""
+    members, linked = _classes(_keyed(found))
+    sizes = members.groupBy("class").agg(F.count("*").alias("n"))
+    both = linked.join(sizes, "class").join(sizes.select(F.col("class").alias("other"), F.col("n").alias("m")), "other")
+    edges = F.col("n") * (F.col("m") - F.when(F.col("class") == F.col("other"), 1).otherwise(0))
+    return both.agg(F.coalesce(F.sum(edges), F.lit(0)).cast("long").alias("edges"))

@@ -67,7 +67,7 @@ def bridge_resources(spark: SparkSession, folder: str) -> DataFrame:
 
 def bridge_links(spark: SparkSession, folder: str) -> DataFrame:
     found = build.bridges(table(spark, folder, "nodes"), api=r'"(https?://[^"/\s]+/[^"]*)"')
-    return build.bridge_edges(found).agg(F.count("*").alias("edges"))
+    return build.bridge_count(found)
 
 
 def _cursors(spark: SparkSession, folder: str) -> DataFrame:

@@ -87,6 +87,20 @@ def test_bridges(spark):
     assert build.bridge_edges(hub, hub=5).count() == 22
 
 
+def test_bridges_of_a_hot_key_link_all_pairs(spark):
+    hot = spark.range(1_002).selectExpr("id AS node_id", "'api' AS type", "concat('/api/things/', id) AS target")
+    assert build.bridge_edges(hot).count() == 1_002 * 1_001 == build.bridge_count(hot).first().edges
+    rows = [(i, "api", f"/api/{'abcde'[i % 5]}/{'xyz'[i % 3]}/{i // 7}") for i in range(40)] + [(i, "sql", "SELECT 1 FROM t") for i in range(0, 40, 9)] + [(99, "api", "/api/alone")]
+    found = spark.createDataFrame(rows, "node_id long, type string, target string")
+    edges = [(r.src, r.dst) for r in build.bridge_edges(found).collect()]
+    keys = {}
+    for r in found.select("node_id", "type", "target", build.resources(F.col("type"), F.col("target")).alias("names")).collect():
+        keys.setdefault(r.node_id, set()).update([(r.type, r.target), *r.names])
+    assert len(edges) == len(set(edges)) == build.bridge_count(found).first().edges
+    assert set(edges) == {(a, b) for a in keys for b in keys if a != b and keys[a] & keys[b]}
+    assert build.bridge_count(found.limit(0)).first().edges == 0
+
+
 def test_dictionary_round_trip(spark):
     rows = spark.createDataFrame([(1, "very_long_identifier " * 30), (2, "ab cd"), (3, "$a " + "very_long_identifier " * 30), (4, None)], "node_id long, source string")
     done = {r.node_id: r for r in compress.dictionary_compress(rows).collect()}
