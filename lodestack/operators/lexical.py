@@ -52,9 +52,21 @@ def trigrams(text: Column) -> Column:
 
 
 def trigram_index(chunks: DataFrame, id_column: str = "chunk_id", text_column: str = "text") -> DataFrame:
-    """gram, id, n: how often each trigram occurs in each chunk."""
-    rows = chunks.select(F.col(id_column).alias("id"), F.explode(trigrams(F.col(text_column))).alias("gram")).filter("id is not null")
-    return rows.groupBy("gram", "id").agg(F.count("*").alias("n"))
+    """gram, id, n: how often each trigram occurs in each chunk, counted per text where it is read."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                ids, grams, counts = [], [], []
+                for id_, low in zip(batch["id"][at : at + 500], batch["low"][at : at + 500]):
+                    found = Counter(low[i : i + 3] for i in range(max(len(low) - 2, 1))) if low else {}
+                    ids += [id_] * len(found)
+                    grams += found.keys()
+                    counts += found.values()
+                yield pd.DataFrame({"gram": pd.Series(grams, dtype="object"), "id": pd.Series(ids, dtype=batch["id"].dtype), "n": pd.Series(counts, dtype="int64")})
+
+    rows = chunks.select(F.col(id_column).alias("id"), F.lower(F.col(text_column)).alias("low")).dropna()
+    counted = rows.mapInPandas(count, f"gram string, id {dict(rows.dtypes)['id']}, n long")
+    return counted.groupBy("gram", "id").agg(F.sum("n").alias("n"))
 
 
 def trigram_search(chunks: DataFrame, query: str, k: int = 10, id_column: str = "chunk_id", text_column: str = "text") -> DataFrame:

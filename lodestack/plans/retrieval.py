@@ -32,8 +32,17 @@ def trigram_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def trigram_postings(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks and occurrences of every trigram of the queries of the test set's names."""
-    index = lexical.trigram_index(table(spark, folder, "nodes").select("node_id", "name").distinct(), "node_id", "name")
+    """Chunks and occurrences of every trigram of the names of nodes."""
+    return _gram_counts(table(spark, folder, "nodes"), "name")
+
+
+def trigram_source_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks and occurrences of every trigram of the whole sources of nodes."""
+    return _gram_counts(table(spark, folder, "nodes"), "source")
+
+
+def _gram_counts(nodes: DataFrame, column: str) -> DataFrame:
+    index = lexical.trigram_index(nodes.select("node_id", column).distinct(), "node_id", column)
     return index.groupBy("gram").agg(F.count("*").alias("chunks"), F.sum("n").alias("occurrences"))
 
 
@@ -81,7 +90,7 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("position", "node_id", "name", "kind", F.round("fused", 9).alias("fused"))
 
 
-QUERIES = {f.__name__: f for f in (lexical_topk, query_tokens, trigram_topk, trigram_postings, cosine_topk, rrf_four_streams, rrf_score_alpha, rrf_weights_mismatch, mock_embeddings, fallback_neighbours, hybrid_search)}
+QUERIES = {f.__name__: f for f in (lexical_topk, query_tokens, trigram_topk, trigram_postings, trigram_source_postings, cosine_topk, rrf_four_streams, rrf_score_alpha, rrf_weights_mismatch, mock_embeddings, fallback_neighbours, hybrid_search)}
 
 
 def _rrf_sql(k: float, alpha: float, weights: list[float]) -> str:
@@ -123,6 +132,13 @@ SQL = {
         c AS (SELECT gram, node_id, count(*) AS n FROM g GROUP BY ALL)
         SELECT gram, count(*) AS chunks, sum(n)::BIGINT AS occurrences FROM c GROUP BY gram
     """,
+    "trigram_source_postings": """
+        WITH n AS (SELECT DISTINCT node_id, source FROM nodes WHERE node_id IS NOT NULL AND source IS NOT NULL AND source <> ''),
+        t AS (SELECT node_id, lower(source) AS t FROM n),
+        g AS (SELECT node_id, unnest(CASE WHEN length(t) < 3 THEN [t] ELSE list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)) END) AS gram FROM t),
+        c AS (SELECT gram, node_id, count(*) AS n FROM g GROUP BY ALL)
+        SELECT gram, count(*) AS chunks, sum(n)::BIGINT AS occurrences FROM c GROUP BY gram
+    """,
     "cosine_topk": """
         WITH s AS (SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
         SELECT * FROM s WHERE score >= 0.03 ORDER BY score DESC, vec_id LIMIT 10

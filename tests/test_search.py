@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.vectors import cosine, feature_vector
 from lodestack.operators import community, context, fusion, graph, lexical, memory, merkle, pagerank
+from lodestack.plans import retrieval
 
 
 def test_lexical_decay_and_dirt(spark):
@@ -27,6 +28,13 @@ def test_trigrams(spark):
     assert lexical.remove_chunks(index, spark.createDataFrame([("long",)], "id string")).filter("id = 'long'").count() == 0
 
 
+def test_trigrams_of_whole_sources(spark, tmp_path):
+    rows = [(1, "ab", "Abcabc"), (1, "ab", "Abcabc"), (2, "x", "BCA"), (3, "y", "é"), (4, "z", ""), (5, "z", None), (None, "z", "abc")]
+    spark.createDataFrame(rows, "node_id long, name string, source string").write.parquet(str(tmp_path / "nodes.parquet"))
+    got = {(r.gram, r.chunks, r.occurrences) for r in retrieval.QUERIES["trigram_source_postings"](spark, str(tmp_path)).collect()}
+    assert got == {("abc", 1, 2), ("bca", 2, 2), ("cab", 1, 1), ("é", 1, 1)}
+
+
 @pytest.mark.parametrize("a,b,want", [([1.0, 0.0], [1.0, 0.0], 1), ([1.0, 0.0], [0.0, 1.0], 0), ([1.0, 0.0], [-1.0, 0.0], -1), ([], [1.0], 0), ([0.0, 0.0], [1.0, 1.0], 0)])
 def test_cosine(spark, a, b, want):
     df = spark.createDataFrame([(a, b)], "a array<double>, b array<double>")
