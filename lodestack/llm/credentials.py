@@ -52,6 +52,8 @@ _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(.*?)
 _PUBLIC_BLOCK = re.compile(r"-----BEGIN (?!(?:[A-Z0-9]+ )*PRIVATE KEY)[A-Z0-9 ]+-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)", re.S)
 _NAME = r"(?P<name>[A-Za-z_$][\w.$\-]*)"
 _QUOTED = r"""(?:b|r\#*|br)?(?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|`(?P<bq>[^`\n]*)`)"""
+_OPTIONS = "-u|--user|--proxy-user"
+_SHAPE = r"[A-Za-z0-9+/=_.\-~!@#$%^&*]"
 _RULES = [
     # name = "value", "name": 'value', const NAME: &str = b"value", name := value, name => value
     re.compile(_NAME + r"""["']?\]?\s*(?::\s*&?\s*(?:'\w+\s+)?(?:str|String|\[u8;?[^\]]*\]|&\[u8\])\s*=|=>|:=|(?<![=!<>])=(?!=)|:(?!:))\s*\(?\s*""" + _QUOTED),
@@ -64,7 +66,7 @@ _RULES = [
     # --name value
     re.compile(r"""(?<!\S)--?(?P<name>[A-Za-z][\w\-]*)[ =]+(?:"(?P<dq>[^"\n]*)"|'(?P<sq>[^'\n]*)'|(?P<plain>[^\s"'\-][^\s"']*))"""),
     # -u user:value
-    re.compile(r"""(?<!\S)(?P<name>-u|--user|--proxy-user)[ =]+["']?[^\s:"']+:(?P<plain>[^\s"']+)"""),
+    re.compile(r"""(?<!\S)(?P<name>""" + _OPTIONS + r""")[ =]+["']?[^\s:"']+:(?P<plain>[^\s"']+)"""),
     # machine host login user name value
     re.compile(r"(?:login|user|account)[ \t]+\S+[ \t]+(?P<name>[A-Za-z_][\w\-]*)[ \t]+(?P<plain>\S+)"),
     # name("value"), name(("value"
@@ -79,7 +81,6 @@ _BASIC = re.compile(r"\bbasic_auth\(\s*[^,\n]+,\s*(?:Some\(\s*)?" + _QUOTED)
 _PIECES = re.compile(_NAME + r"\s*(?::\s*[^=\n]+)?=\s*(?:concat!\s*\(|\[|\()\s*(?P<body>(?:b?\"[^\"\n]*\"\s*[,+]?\s*){2,})[\])]")
 _JOINED = re.compile(_NAME + r"\s*(?::\s*[^=\n]+)?=\s*(?P<body>b?\"[^\"\n]*\"(?:\.to_(?:string|owned)\(\))?(?:\s*(?:\+|\\)\s*&?b?\"[^\"\n]*\"){1,})")
 _BYTES = re.compile(_NAME + r"\s*(?::\s*[^=\n]+)?=\s*&?(?:vec!)?\[\s*(?P<body>(?:(?:0x[0-9A-Fa-f]{1,2}|\d{1,3}|b'[^'\n]+')(?:u8)?\s*,?\s*){8,})\]")
-_HINT = re.compile(r"(?i)pass|pw|secret|token|bearer|cred|key|auth|unlock|sig|://|otp|psk|login|[A-Za-z0-9+/_\-]{16}")
 #: Cheap signs without which the rule behind them can't match anywhere in a text.
 _MAY = [
     (re.compile(r'"\s*[,+]?\s*b?"'), _PIECES),
@@ -87,7 +88,10 @@ _MAY = [
 ]
 _MAY_BYTES = re.compile(r"\[\s*(?:0x|\d|b')")
 _MAY_FORMAT = re.compile(r"AKIA|ASIA|gh[pousr]_|github_pat|glpat|xox|_(?:live|prod|test|pat|secret|sk|key)_|sk-|AIza|eyJ")
-_SCHEME = re.compile(r"(?i)^(bearer|basic|token)\s+")
+_SCHEMES = "bearer|basic|token"
+_SCHEME = re.compile(rf"(?i)^({_SCHEMES})\s+")
+#: Signs of which every text with a credential has one: the names, options and schemes of the rules, and values in one run or in pieces.
+_HINT = re.compile("|".join(["(?i:" + "|".join(sorted(SECRET_WORDS | {"key", "sign", "://", *_SCHEMES.split("|")})) + ")", rf"(?<!\S)(?:{_OPTIONS})[ =]", _SHAPE + "{16}", *(sign.pattern for sign, _ in _MAY)]))
 
 
 def name_words(name: str) -> list[str]:
@@ -129,7 +133,7 @@ def literal(name: str, value: str, folder: str = TOKENIZER_FOLDER) -> str:
         if " " in value and not re.search(r"\d", value):
             return ""
         return "name"
-    if not names_public(name) and re.fullmatch(r"[A-Za-z0-9+/=_.\-~!@#$%^&*]+", value) and not _HEX.fullmatch(value) and unnatural(value, folder):
+    if not names_public(name) and re.fullmatch(_SHAPE + "+", value) and not _HEX.fullmatch(value) and unnatural(value, folder):
         return "shape"
     return ""
 

@@ -51,3 +51,8 @@ def test_tables(spark):
     assert C.credential_lines(nodes.limit(0)).count() == 0
     shown = C.redact(nodes).collect()
     assert len(shown) == 6 and sum(r.source is None for r in shown) == 1 and all(TOKEN not in (r.source or "") for r in shown) and shown[0].begin == 1
+
+
+@pytest.mark.parametrize("text", ["kennwort = 'Xa9-3kd'", "contrasena = 'Xa9-3kd'", "curl -u bob:S3cr-t9 h/x", "curl --user bob:S3cr-t9 h/x", "curl --proxy-user bob:S3cr-t9 h/x", "x: Basic Ym9-9k", 'let v = concat!("aB3dE5zQ", "gH7jK9mX");'])
+def test_short_texts_with_one_sign_are_scanned(text):
+    assert C.find_credentials(text)
