@@ -48,10 +48,9 @@ def smart_truncated(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def log_compressed(spark: SparkSession, folder: str) -> DataFrame:
-    """Sizes of terminal logs before and after the whole pipeline, as of a test run."""
+    """Sizes of all documents before and after the whole pipeline for logs, as of a test run."""
     out = T.compress_output(F.col("text"), F.lit("cargo test"))
-    rows = _documents(spark, folder).filter(F.lower(F.trim("source")) == "terminal_log")
-    return rows.select("doc_id", F.octet_length("text").alias("before"), F.octet_length(out).alias("after"))
+    return _documents(spark, folder).select("doc_id", F.octet_length("text").alias("before"), F.octet_length(out).alias("after"))
 
 
 def symbols_folded(spark: SparkSession, folder: str) -> DataFrame:

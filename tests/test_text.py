@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import linediff
 from lodestack.functions import text as T
 from lodestack.functions.tokens import query_terms, token_estimate
+from lodestack.plans import texts
 
 
 def one(spark, expression, *values):
@@ -75,3 +76,10 @@ def test_diffs():
         linediff.apply("z\n", diff)
     with pytest.raises(linediff.DiffError):
         linediff.apply("a\n", "nonsense")
+
+
+def test_log_compression_takes_all_documents(spark, tmp_path):
+    rows = [(1, "test a ... ok\n", "terminal_log", "a"), (2, "test b ... ok\n", None, "b"), (3, "plain\n", "web", "c"), (4, None, "web", "d")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, path string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r.before for r in texts.log_compressed(spark, str(tmp_path)).collect()}
+    assert found == {1: 14, 2: 14, 3: 6, 4: None}
