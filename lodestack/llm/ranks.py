@@ -1,8 +1,9 @@
 """One order from several scores of different scales: Borda counts over ranks with averaged ties.
 
-Ranks are counted without putting a query's rows in one task: equal scores are counted first, the values of
-a large query are cut into buckets at quantiles, and each value's rank is the rows in better buckets plus
-the better values of its own bucket.
+Queries of up to ``large_group`` rows are ranked by windows behind a single exchange by query. In a larger
+query no rows of one query meet in one task: equal scores are counted first, its values are cut into buckets
+at quantiles, and each value's rank is the rows in better buckets plus the better values of its own bucket.
+Both ways are exact and give the same points.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import settle
+from ..runtime import cut, settle
 
 SCORES = ("lexical", "semantic", "structural", "leiden", "pagerank", "rrf_score")
 BUCKETS = 64
@@ -52,27 +53,74 @@ def ranked_values(scores: DataFrame, large_group: int = LARGE_GROUP) -> DataFram
     return bucketed.join(sums, ["query_id", "metric", "bucket"]).select("query_id", "metric", "value", (better + (F.col("n") + 1) / 2).alias("rank"))
 
 
+def _weight(weights: dict[str, float] | None) -> Column:
+    return F.lit(1.0) if not weights else F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("metric")), F.lit(1.0))
+
+
+def _points(nodes: Column, missing: str, metrics: Column, present: Column, own: Column, held: Column, rank: Column) -> Column:
+    """Points of a node in a query of ``nodes`` nodes, all sums weighted.
+
+    ``metrics``: of the query's metrics; ``present``: of the values the query's nodes have; ``own``: of the
+    node's metrics; ``held``: of how many nodes have each of them; ``rank``: of its ranks.
+    """
+    if missing == "worst":  # absent ones stand in the middle of the places below those present
+        return F.round((metrics * (nodes - 1) - present) / 2 + (own * (nodes + 1) + held) / 2 - rank, 6)
+    return F.round(metrics * (nodes - 1) / 2 + own * (nodes + 1) / 2 - rank, 6)
+
+
 def borda(scores: DataFrame, weights: dict[str, float] | None = None, missing: str = "worst", large_group: int = LARGE_GROUP) -> DataFrame:
     """query_id, node_id, points, position: 1 is best, equal points are ordered by node_id.
 
-    A score gives a node as many points as the query has nodes less the node's rank. A missing score has
-    the mean rank of all places below the present ones (``worst``) or the middle rank (``middle``). A score
-    without weight counts 1. Positions are counted over points in the same bounded way as ranks.
+    ``scores`` has one row for each query_id, node_id and metric. A score gives a node as many points as the
+    query has nodes less the node's rank. A missing score has the mean rank of all places below the present
+    ones (``worst``) or the middle rank (``middle``). A score without weight counts 1.
     """
+    return _ordered(scores, lambda rows: rows, weights, missing, large_group)
+
+
+def _ordered(rows: DataFrame, longer, weights: dict[str, float] | None, missing: str, large_group: int) -> DataFrame:
+    """Borda positions of ``longer(rows)``; ``rows`` with a query_id are parted by the size of their query first."""
     if missing not in ("worst", "middle"):
         raise ValueError("missing must be worst or middle")
+    large = cut(rows.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") > large_group).select("query_id"))
+    if large.isEmpty():
+        return _by_windows(longer(rows.repartition("query_id")), weights, missing)
+    small = _by_windows(longer(rows.join(large, "query_id", "left_anti").repartition("query_id")), weights, missing)
+    return small.unionByName(_by_buckets(longer(rows.join(large, "query_id", "left_semi")), weights, missing, large_group))
+
+
+def _by_windows(scores: DataFrame, weights: dict[str, float] | None, missing: str) -> DataFrame:
+    """For queries of bounded size: all that follows the exchange by query needs no other one."""
+    by = Window.partitionBy("query_id", "metric")
+    down = by.orderBy(F.desc_nulls_last("value"))
+    known = F.col("value").isNotNull()
+    ranked = scores.select("query_id", "node_id", "metric", "value", F.rank().over(down).alias("place"), F.row_number().over(down).alias("row"), F.count("value").over(by).alias("have"))
+    ranked = ranked.withColumn("ties", F.count("*").over(Window.partitionBy("query_id", "metric", "place")))
+    own = F.when(known, _weight(weights)).otherwise(0.0)
+    sums = ranked.groupBy("query_id", "node_id").agg(
+        F.sum(F.when(F.col("row") == 1, _weight(weights)).otherwise(0.0)).alias("metrics"),
+        F.sum(own).alias("own"),
+        F.sum(own * F.col("have")).alias("held"),
+        F.sum(own * (F.col("place") + (F.col("ties") - 1) / 2)).alias("rank"),
+    )
+    query = Window.partitionBy("query_id")
+    whole = sums.withColumns({"nodes": F.count("*").over(query), "all": F.sum("metrics").over(query), "present": F.sum("own").over(query)})
+    points = whole.select("query_id", "node_id", _points(F.col("nodes"), missing, F.col("all"), F.col("present"), F.col("own"), F.col("held"), F.col("rank")).alias("points"))
+    return points.withColumn("position", F.row_number().over(query.orderBy(F.desc("points"), "node_id")))
+
+
+def _by_buckets(scores: DataFrame, weights: dict[str, float] | None, missing: str, large_group: int) -> DataFrame:
+    """For queries of any size."""
     scores = settle(scores)
+    have = scores.groupBy("query_id", "metric").agg(F.count("value").alias("have"))
+    ranks = scores.filter("value is not null").join(ranked_values(scores, large_group), ["query_id", "metric", "value"]).join(have, ["query_id", "metric"])
+    weight = _weight(weights)
+    own = ranks.groupBy("query_id", "node_id").agg(F.sum(weight).alias("own"), F.sum(weight * F.col("have")).alias("held"), F.sum(weight * F.col("rank")).alias("rank"))
+    query = have.groupBy("query_id").agg(F.sum(weight).alias("metrics"), F.sum(weight * F.col("have")).alias("present"))
     nodes = scores.select("query_id", "node_id").distinct()
     sizes = nodes.groupBy("query_id").agg(F.count("*").alias("nodes"))
-    present = scores.filter("value is not null").join(ranked_values(scores, large_group), ["query_id", "metric", "value"])
-    have = scores.filter("value is not null").groupBy("query_id", "metric").agg(F.count("*").alias("have"))
-    metrics = scores.select("query_id", "metric").distinct().join(have, ["query_id", "metric"], "left").join(sizes, "query_id")
-    weight = F.lit(1.0) if not weights else F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("metric")), F.lit(1.0))
-    fill = (F.col("nodes") + F.coalesce("have", F.lit(0)) + 1) / 2 if missing == "worst" else (F.col("nodes") + 1) / 2
-    # what a node would get were all its scores missing, then what its present scores change
-    base = metrics.withColumn("absent", weight * (F.col("nodes") - fill)).groupBy("query_id").agg(F.sum("absent").alias("base"))
-    gain = present.join(metrics, ["query_id", "metric"]).groupBy("query_id", "node_id").agg(F.sum(weight * (fill - F.col("rank"))).alias("gain"))
-    points = nodes.join(base, "query_id").join(gain, ["query_id", "node_id"], "left").select("query_id", "node_id", F.round(F.col("base") + F.coalesce("gain", F.lit(0.0)), 6).alias("points"))
+    every = nodes.join(own, ["query_id", "node_id"], "left").fillna(0.0, ["own", "held", "rank"]).join(query.join(sizes, "query_id"), "query_id")
+    points = every.select("query_id", "node_id", _points(F.col("nodes"), missing, F.col("metrics"), F.col("present"), F.col("own"), F.col("held"), F.col("rank")).alias("points"))
     return _positions(settle(points), large_group)
 
 
@@ -94,5 +142,7 @@ def _positions(points: DataFrame, large_group: int) -> DataFrame:
     return rows.join(sums, ["query_id", "b", "key"]).select("query_id", "node_id", "points", (F.col("before") + F.row_number().over(place)).alias("position"))
 
 
-def best_nodes(hits: DataFrame, k: int = 3, **settings) -> DataFrame:
-    return borda(long_scores(hits), **settings).filter(F.col("position") <= k).select("query_id", "node_id")
+def best_nodes(hits: DataFrame, k: int = 3, weights: dict[str, float] | None = None, missing: str = "worst", large_group: int = LARGE_GROUP) -> DataFrame:
+    """query_id and node_id of the k best nodes of each query of ``hits``; rows are as :func:`long_scores` takes them."""
+    rows = hits.dropna(subset=["query_id", "node_id"])
+    return _ordered(rows, long_scores, weights, missing, large_group).filter(F.col("position") <= k).select("query_id", "node_id")
