@@ -56,3 +56,34 @@ def test_tables(spark):
 @pytest.mark.parametrize("text", ["kennwort = 'Xa9-3kd'", "contrasena = 'Xa9-3kd'", "curl -u bob:S3cr-t9 h/x", "curl --user bob:S3cr-t9 h/x", "curl --proxy-user bob:S3cr-t9 h/x", "x: Basic Ym9-9k", 'let v = concat!("aB3dE5zQ", "gH7jK9mX");'])
 def test_short_texts_with_one_sign_are_scanned(text):
     assert C.find_credentials(text)
+
+
+@pytest.mark.parametrize("text", ['password = "correct horse battery"', 'password = "tulip"', "password: hunter", "// ask the admin, or just use Copper.3fgRs.8 for now", "/* ops logs in with marble10891! on the test box */", 'login = "Harbor.yvp3A.54"'])
+def test_places_that_move_the_limit(text):
+    assert C.find_credentials(text)
+
+
+@pytest.mark.parametrize("text", ['auth_token="page-1"', 'secret_name_1 = "db-main-5"', "password: String,", "machine h login ops access_key <your access key>", 'login = "deployer"', "// the key is split at dbg_610adf", "token: usize,", 'x["password"] => "Passwort"'])
+def test_natural_words_and_names_stay(text):
+    assert C.find_credentials(text) == []
+
+
+def test_candidates_are_judged_by_their_subwords():
+    made = C.Candidate("made", "aB3dE5gH7jK9", 0, ((0, 12),), "made")
+    assert C.is_credential(made, 8) and not C.is_credential(made, 2)
+    assert not C.is_credential(made._replace(place="neutral"), 8) and C.is_credential(made._replace(place="said"), 8)
+
+
+def test_redaction_keeps_rust_tokens():
+    from lodestack.functions.rustscan import lex
+
+    sources = ["let pw: [u8; 9] = [0x01, 0x22, 0x33, 0x44, 0x55, 0x66, 0x77, 0x88, 0x99];", "let pw = [b'a', b'\\x41', b'\\n', 12u8, 255, 3, 4, 5, 6];", f'let token = r#"{TOKEN}"#;', 'let pw = "tulip\\"rose77";', 'let k_secret = concat!("ghp_aB3dE5gH7jK9", "mN1pQ3sT5vX7zB9dF1hJ3kL5");']
+    for text in sources:
+        hidden = C.hide(text, C.find_credentials(text))
+        assert hidden != text and len(hidden) == len(text)
+        assert [(t.kind, t.start, t.end) for t in lex(hidden)] == [(t.kind, t.start, t.end) for t in lex(text)], hidden
+
+
+def test_report(spark):
+    nodes = spark.createDataFrame([(1, f'pw = "{TOKEN}"'), (1, "a = 1"), (2, None), (None, "x"), (3, "")], "node_id long, source string")
+    assert {tuple(r) for r in C.redaction_report(nodes).collect()} == {(1, True, True), (3, True, True)}
