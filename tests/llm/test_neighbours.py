@@ -73,3 +73,46 @@ def test_pairs_of_current_rows(spark):
     store = spark.createDataFrame(rows, STORE).withColumn("rank", F.lit(1)).withColumn("unit", F.lit(1))
     assert {tuple(r) for r in N.similar_pairs(store).collect()} == {("a", "b"), ("c", "j")}
     assert N.similar_pairs(store.limit(0)).count() == 0
+
+
+def recall_of(found, x, k, ids=None):
+    exact = x @ x.T
+    np.fill_diagonal(exact, -2)
+    truth = np.argsort(-exact, axis=1)[:, :k]
+    got = found.groupby("id")["neighbour"].apply(set)
+    asked = range(len(x)) if ids is None else ids
+    return np.mean([len({f"v{j:05d}" for j in truth[i]} & got.get(f"v{i:05d}", set())) / k for i in asked])
+
+
+def test_a_stored_index_answers_later_queries(spark):
+    x = clustered(2000)
+    vectors = frame(spark, x)
+    index = N.GraphIndex.build(vectors, dims=16, shard_rows=300)
+    assert index.graphs.count() == len({r.shard for r in index.graphs.select("shard").collect()}) and sum(len(r.ids) for r in index.graphs.collect()) == 2000
+    ids = list(range(0, 2000, 50))
+    asked = frame(spark, x[ids], [f"v{i:05d}" for i in ids])
+    found = index.search(asked, 10, probes=3).toPandas()
+    assert recall_of(found, x, 10, ids) > 0.9 and (found["id"] != found["neighbour"]).all()
+    strangers = frame(spark, clustered(5, seed=9), [f"q{i}" for i in range(5)])
+    assert index.search(strangers, 3).groupBy("id").count().filter("count = 3").count() == 5
+    assert index.search(vectors.limit(0)).count() == 0
+    assert N.GraphIndex.build(vectors.limit(0), dims=16).search(asked).count() == 0
+
+
+def test_cells_of_two_levels_find_the_nearest():
+    x = clustered(6000, groups=300)
+    two, one = N.Cells.fit(x, 6000, 20, one_level=16), N.Cells.fit(x, 6000, 20)
+    assert len(two.coarse) > 1 and len(one.coarse) == 1 and abs(len(two.fine) - len(one.fine)) < 60
+    near = two.nearest(x, 3)
+    exact = (x @ two.fine.T).argmax(1)
+    assert (near[:, 0] == exact).mean() > 0.97 and len(np.unique(near[0])) == 3
+    crowd = N.Cells.fit(np.repeat(x[:1], 4000, 0), 4000, 100)
+    assert crowd.splits.sum() >= 4000 // 300
+
+
+def test_hot_copies_are_spread(spark):
+    base = clustered(40)
+    x = np.concatenate([base, np.repeat(base[:1], 60, 0), np.repeat(base[1:2], 3, 0)])
+    plain = {tuple(r) for r in N.nearest(frame(spark, x), k=5, dims=16).select("id", "neighbour", "rank").collect()}
+    assert plain == {tuple(r) for r in N.nearest(frame(spark, x), k=5, dims=16, hot_copies=7).select("id", "neighbour", "rank").collect()}
+    assert len(plain) == 5 * len(x)
