@@ -13,11 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import clash_free, cut, settle, shuffle_width
+from ..runtime import clash_free, cut, fingerprint, release, settle, shuffle_width
 
 OWN_SHARE = 0.1  #: the share of a node's weight that its own model is given beforehand
 ROUNDS, TOLERANCE = 100, 1e-9
+TESTED_EVERY = 5  #: rounds after which it is asked whether a model still moves
 LARGE_NODE = 200_000  #: distinct terms from which a node's model is fitted by joins over all executors
+LARGE_AT_ONCE = 1_000_000  #: large nodes fitted together, whose sums of 16 bytes are broadcast
 HOT_SHARE = 1_000  #: a term in a thousandth of all (node, term) rows is broadcast: a thousand terms at most
 VALID_WEIGHTS = (1.0, 2.0, 3.0)
 
@@ -42,22 +44,41 @@ def with_background(weights: DataFrame) -> DataFrame:
 
 
 def fit_models(owner: np.ndarray, weight: np.ndarray, background: np.ndarray, own_share: float = OWN_SHARE, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
-    """Converged probabilities of each row's term in its owner's model; rows of an owner lie together."""
+    """Converged probabilities of each row's term in its owner's model; rows of an owner lie together.
+
+    Every owner stops for itself once none of its probabilities moves by ``tolerance``, so its model does not
+    depend on the owners it is fitted beside.
+    """
+    out = np.empty(len(owner))
     if not len(owner):
-        return np.empty(0)
+        return out
+    at = np.arange(len(owner))
+    rest = (1 - own_share) * background
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     length = np.diff(np.r_[first, len(owner)])
     probability = weight / np.repeat(np.add.reduceat(weight, first), length)
-    rest = (1 - own_share) * background
-    for _ in range(rounds):
-        mine = own_share * probability
-        moved = weight * mine / (rest + mine)
+    done = np.zeros(len(first), bool)
+    for number in range(1, rounds + 1):
+        moved = own_share * probability
+        moved = weight * moved / (rest + moved)
         new = moved / np.repeat(np.maximum(np.add.reduceat(moved, first), 1e-300), length)
-        change = np.abs(new - probability).max()
-        probability = new
-        if change < tolerance:
-            break
-    return probability
+        before, probability = probability, new
+        if number % TESTED_EVERY:
+            continue
+        ended = ~done & (np.maximum.reduceat(np.abs(new - before), first) < tolerance)
+        if ended.any():
+            rows = np.repeat(ended, length)
+            out[at[rows]] = new[rows]
+            done |= ended
+            if done.all():
+                return out
+            if length[done].sum() > 0.3 * len(at):  # go on with the others alone
+                rows = np.repeat(~done, length)
+                at, weight, rest, probability, length = at[rows], weight[rows], rest[rows], probability[rows], length[~done]
+                first, done = np.cumsum(length) - length, np.zeros(len(length), bool)
+    rows = np.repeat(~done, length)
+    out[at[rows]] = probability[rows]
+    return out
 
 
 SCORED = "node_id long, term string, weight double, in_nodes long, score double"
@@ -73,10 +94,15 @@ def score_terms(postings: DataFrame, nodes: DataFrame, own_share: float = OWN_SH
     sizes = weights.groupBy("node_id").agg(F.count("*").alias("terms")).filter(F.col("terms") > large_node)
     rows = with_background(weights)
     large = cut(sizes)
-    if large.isEmpty():
+    count = large.count()
+    if not count:
         return _small(rows, own_share)
-    # at most one node in ``large_node`` rows is large; the join sees few of them
-    return _small(rows.join(large, "node_id", "left_anti"), own_share).unionByName(_large(rows.join(large, "node_id", "left_semi"), own_share))
+    out = _small(rows.join(large, "node_id", "left_anti"), own_share)
+    parts = -(-count // LARGE_AT_ONCE)
+    for number in range(parts):
+        some = large.filter(fingerprint("node_id") % parts == number)
+        out = out.unionByName(_large(rows.join(some, "node_id", "left_semi"), own_share))
+    return out
 
 
 def _small(rows: DataFrame, own_share: float) -> DataFrame:
@@ -105,19 +131,25 @@ def _small(rows: DataFrame, own_share: float) -> DataFrame:
 
 
 def _large(rows: DataFrame, own_share: float) -> DataFrame:
-    """The same steps as joins with one small row for each node, so that a node is spread over all tasks."""
-    def normed(frame: DataFrame, column: str) -> DataFrame:
-        sums = frame.groupBy("node_id").agg(F.sum(column).alias("__sum"))
-        return frame.join(F.broadcast(sums), "node_id").withColumn("new", F.col(column) / F.greatest("__sum", F.lit(1e-300))).drop("__sum")
+    """The same steps as joins with one small row for each node, so that a node is spread over all tasks.
+
+    ``rows`` hold at most ``LARGE_AT_ONCE`` nodes, so what is broadcast has a bound.
+    """
+    def per_node(frame: DataFrame, value, name: str) -> DataFrame:
+        return F.broadcast(frame.groupBy("node_id").agg(value.alias(name)))
 
-    now = cut(normed(rows.repartition(shuffle_width(rows.sparkSession), "node_id", "term"), "weight").withColumnRenamed("new", "score"))
+    spread = rows.repartition(shuffle_width(rows.sparkSession), "node_id", "term")
+    now = cut(spread.join(per_node(spread, F.sum("weight"), "all"), "node_id").select(*rows.columns, (F.col("weight") / F.col("all")).alias("score"), F.lit(True).alias("live")))
     for _ in range(ROUNDS):
         mine = F.col("score") * own_share
         moved = now.withColumn("moved", F.col("weight") * mine / (F.col("background") * (1 - own_share) + mine))
-        after = cut(normed(moved, "moved").drop("moved"))
-        change = after.agg(F.max(F.abs(F.col("new") - F.col("score")))).first()[0]
-        now = after.drop("score").withColumnRenamed("new", "score")
-        if change is None or change < TOLERANCE:
+        new = F.when(F.col("live"), F.col("moved") / F.greatest("all", F.lit(1e-300))).otherwise(F.col("score"))
+        after = cut(moved.join(per_node(moved, F.sum("moved"), "all"), "node_id").withColumn("new", new).drop("moved", "all"))
+        moving = per_node(after, F.max(F.abs(F.col("new") - F.col("score"))) >= TOLERANCE, "moving")
+        release(now)
+        now = cut(after.join(moving, "node_id").withColumn("live", F.col("live") & F.col("moving")).drop("moving", "score").withColumnRenamed("new", "score"))
+        release(after)
+        if now.filter("live").limit(1).count() == 0:
             break
     return now.select("node_id", "term", "weight", "in_nodes", "score")
 

@@ -58,3 +58,21 @@ def test_models_of_many_nodes_at_once():
     both = D.fit_models(owner, np.array([5.0, 5, 1, 2, 3]), np.array([0.5, 0.01, 0.2, 0.2, 0.2]))
     alone = D.fit_models(owner[:2], np.array([5.0, 5]), np.array([0.5, 0.01]))
     assert both[:2] == pytest.approx(alone, abs=1e-6) and both[1] > 0.99 and D.fit_models(owner[:0], owner[:0], owner[:0]).size == 0
+
+
+def test_a_model_does_not_depend_on_its_neighbours():
+    rng = np.random.default_rng(3)
+    owners = [(i, rng.integers(1, 4, n).astype(float), rng.random(n) * 0.01) for i, n in enumerate((5, 40, 3, 17))]
+    alone = [D.fit_models(np.full(len(w), i), w, b) for i, w, b in owners]
+    together = D.fit_models(np.concatenate([np.full(len(w), i) for i, w, b in owners]), np.concatenate([w for _, w, _ in owners]), np.concatenate([b for *_, b in owners]))
+    assert (np.concatenate(alone) == together).all()
+
+
+def test_large_nodes_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(D, "LARGE_AT_ONCE", 2)
+    rng = np.random.default_rng(6)
+    rows = [(f"t{rng.integers(0, 30)}", int(n), int(line), float(rng.integers(1, 4))) for n in range(6) for line in range(40)]
+    postings = spark.createDataFrame(rows, "term string, node_id long, line long, weight double")
+    nodes = spark.createDataFrame([(n,) for n in range(6)], "node_id long")
+    scores = lambda large: {(r.node_id, r.term): round(r.score, 7) for r in D.score_terms(postings, nodes, large_node=large).collect()}
+    assert scores(5) == scores(10_000)
