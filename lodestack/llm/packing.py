@@ -103,29 +103,42 @@ def pack(deps: DataFrame, windows: DataFrame, lane_rows: int = LANE_ROWS, most_o
 
     placed = cut(spread.groupBy("window_id", "lane").applyInPandas(fill, PLACED))
     most = lanes.agg(F.max("lanes")).first()[0] or 0
-    merged, width = _merge(placed, MERGED_LANES, most_open), MERGED_LANES
-    while width < most:
-        width *= MERGED_LANES
-        merged = _merge(merged, width, most_open)
-    return merged.drop("lane", "open")
-
+    names = _merged_names(placed, most, most_open)
+    # texts and pieces move once, when the prompts they lie in have got their last names
+    return placed.join(names, ["window_id", "prompt"], "left").select("window_id", F.coalesce("name", "prompt").alias("prompt"), "dep_id", "piece", "pieces", "start", "end", "tokens", "capacity")
 
-def _merge(placed: DataFrame, width: int, most_open: int) -> DataFrame:
-    """Open prompts of neighbouring lanes put together, largest first; a prompt is never taken apart."""
-    lane = F.floor(F.col("lane") / width).cast("int")
-    left = placed.filter("open").groupBy("window_id", lane.alias("lane"), "prompt", "capacity").agg(F.sum("tokens").alias("tokens"))
 
+def _joiner(width: int, most_open: int):
     def join_up(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         prompts = Prompts(int(group["capacity"].iat[0]), most_open)
         group = group.sort_values(["tokens", "prompt"], ascending=[False, True])
         group["into"] = [prompts.place(int(t)) for t in group["tokens"]]
         group["still"] = group["into"].isin({number for _, number in prompts.room})
         group["into"] = f"{width}.{key[1]}." + group["into"].astype(str)
-        return group[["window_id", "prompt", "into", "still"]]
+        return group[["window_id", "lane", "prompt", "capacity", "tokens", "into", "still"]]
+
+    return join_up
+
+
+OPEN = "window_id int, lane int, prompt string, capacity long, tokens long"
+
+
+def _merged_names(placed: DataFrame, lanes: int, most_open: int) -> DataFrame:
+    """window_id, prompt, name: prompts left open at the end of lanes, and what they are merged into.
 
-    moved = left.groupBy("window_id", "lane").applyInPandas(join_up, "window_id int, prompt string, into string, still boolean")
-    both = placed.join(moved, ["window_id", "prompt"], "left")
-    return cut(both.select("window_id", "lane", F.coalesce("into", "prompt").alias("prompt"), F.coalesce("still", F.lit(False)).alias("open"), "dep_id", "piece", "pieces", "start", "end", "tokens", "capacity"))
+    Only the open prompts take part, at most ``most_open`` of each lane. Those of ``MERGED_LANES`` neighbouring
+    lanes are put together, largest first; what stays open goes to the next round. None is taken apart.
+    """
+    open_ = cut(placed.filter("open").groupBy("window_id", "lane", "prompt", "capacity").agg(F.sum("tokens").alias("tokens")))
+    names = open_.select("window_id", "prompt", F.col("prompt").alias("name"))
+    width = 1
+    while width == 1 or width < lanes:
+        width *= MERGED_LANES
+
+        moved = cut(open_.groupBy("window_id", F.floor(F.col("lane") / width).cast("int").alias("group")).applyInPandas(_joiner(width, most_open), OPEN + ", into string, still boolean"))
+        names = cut(names.join(moved.select("window_id", F.col("prompt").alias("name"), "into"), ["window_id", "name"], "left").select("window_id", "prompt", F.coalesce("into", "name").alias("name")))
+        open_ = moved.filter("still").groupBy("window_id", F.col("into").alias("prompt"), "capacity").agg(F.min("lane").alias("lane"), F.sum("tokens").alias("tokens")).select("window_id", "lane", "prompt", "capacity", "tokens")
+    return names
 
 
 def cut_texts(deps: DataFrame, windows: DataFrame) -> DataFrame:
@@ -137,3 +150,13 @@ def fill_report(placed: DataFrame) -> DataFrame:
     """For each window: prompts, tokens, capacity of one prompt and the share of all room that is used."""
     prompts = placed.groupBy("window_id", "prompt", "capacity").agg(F.sum("tokens").alias("tokens"))
     return prompts.groupBy("window_id", "capacity").agg(F.count("*").alias("prompts"), F.sum("tokens").alias("tokens")).withColumn("fill", F.round(F.col("tokens") / (F.col("prompts") * F.col("capacity")), 4))
+
+
+def window_report(placed: DataFrame) -> DataFrame:
+    """For each window: tokens of its uncut texts, prompts that hold more than the capacity, and whether little room is left.
+
+    Little room: the prompts are at most a twentieth more than all tokens need, or one more.
+    """
+    prompts = placed.groupBy("window_id", "prompt", "capacity").agg(F.sum("tokens").alias("tokens"), F.sum(F.when(F.col("pieces") == 1, F.col("tokens"))).alias("whole"))
+    least = F.ceil(F.sum("tokens") / F.col("capacity"))
+    return prompts.groupBy("window_id", "capacity").agg(F.sum("whole").alias("tokens"), F.sum((F.col("tokens") > F.col("capacity")).cast("long")).alias("overfull"), (F.count("*") <= F.greatest(least * 1.05, least + 1)).alias("tight"))

@@ -63,3 +63,15 @@ def test_bounded_space_places_best_and_emits_fullest():
     prompts = P.Prompts(10, 2)
     assert [prompts.place(n) for n in (6, 7, 3, 4)] == [0, 1, 1, 0]
     assert prompts.place(9) == 2 and len(prompts.room) == 2
+
+
+def test_open_prompts_of_many_lanes_are_merged(spark):
+    rng = random.Random(8)
+    rows = [(i, 1, "m", "word " * rng.randint(1, 30), 0, True) for i in range(4000)]
+    deps, windows = tables(spark, rows)
+    report = {r.window_id: r for r in P.fill_report(P.pack(deps, windows, lane_rows=3, most_open=4)).collect()}
+    whole = {r.window_id: r for r in P.fill_report(P.pack(deps, windows)).collect()}
+    assert report[1].tokens == whole[1].tokens == sum(estimate(r[3]) for r in rows)
+    assert report[1].fill > 0.9 and whole[1].fill > 0.97
+    seen = P.window_report(P.pack(deps, windows)).first()
+    assert seen.overfull == 0 and seen.tight and seen.tokens == whole[1].tokens
