@@ -79,18 +79,22 @@ def trigram_search(chunks: DataFrame, query: str, k: int = 10, id_column: str =
         low = text.lower()
         return [low[i : i + 3] for i in range(len(low) - 2)] if len(low) > 2 else [low] * bool(low)
 
-    wanted = Counter(grams_of(query))
+    wanted = dict(Counter(grams_of(query)))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for id_, text in zip(batch["id"], batch["text"]):
+                low = text.lower()
+                if not any(gram in low for gram in wanted):
+                    continue
                 grams = grams_of(text)
-                score = sum(map(wanted.__getitem__, grams))
-                if score:
-                    own = set(grams)
-                    shared = len(own & wanted.keys())
-                    out.append((id_, shared / (len(own) + len(wanted) - shared), score))
+                own = set(grams)
+                shared = own & wanted.keys()
+                if shared:
+                    # only grams of the query are counted, and only those that occur
+                    score = sum(wanted[g] for g in grams if g in shared)
+                    out.append((id_, len(shared) / (len(own) + len(wanted) - len(shared)), score))
             yield pd.DataFrame(out, columns=["id", "jaccard", "score"])
 
     rows = chunks.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).dropna()
@@ -98,6 +102,26 @@ def trigram_search(chunks: DataFrame, query: str, k: int = 10, id_column: str =
     return found.orderBy(F.desc("jaccard"), F.desc("score"), "id").limit(max(k, 0))
 
 
+def gram_sizes(index: DataFrame) -> DataFrame:
+    """id, grams: how many distinct trigrams each chunk of an index has; kept beside it for :func:`index_search`."""
+    return index.groupBy("id").agg(F.count("*").alias("grams"))
+
+
+def index_search(index: DataFrame, sizes: DataFrame, query: str, k: int = 10) -> DataFrame:
+    """What :func:`trigram_search` gives, read from a trigram index and its sizes.
+
+    Only postings of the query's trigrams are read; they are added up for each chunk before anything moves.
+    """
+    low = query.lower()
+    wanted = dict(Counter([low[i : i + 3] for i in range(len(low) - 2)] if len(low) > 2 else [low] * bool(low)))
+    if not wanted or k < 1:
+        return index.limit(0).select("id", F.lit(0.0).alias("jaccard"), F.col("n").alias("score"))
+    times = F.element_at(F.create_map(*(F.lit(x) for kv in wanted.items() for x in kv)), F.col("gram"))
+    hits = index.filter(F.col("gram").isin(*wanted)).groupBy("id").agg(F.count("*").alias("shared"), F.sum(F.col("n") * times).alias("score"))
+    jaccard = F.col("shared") / (F.col("grams") + len(wanted) - F.col("shared"))
+    return hits.join(sizes, "id").select("id", jaccard.alias("jaccard"), "score").orderBy(F.desc("jaccard"), F.desc("score"), "id").limit(k)
+
+
 def replace_chunks(index: DataFrame, chunks: DataFrame, **names: str) -> DataFrame:
     """The index with the postings of ``chunks`` put in place of any older ones of the same ids."""
     new = trigram_index(chunks, **names)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,56 +12,61 @@ from pyspark.sql import functions as F
 from ..runtime import clash_free, cut
 from .graph import dense_ids
 
-BLOCK = 4_096
+DEEP = 12  #: levels that are folded at once
+BLOCK = 1 << DEEP
 
 
-def _length(column: Column) -> Column:
-    """The length of a text in bytes as eight little-endian bytes."""
-    return F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(F.octet_length(column).cast("long"), 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(8))))
+def _folder(base: int, more: bool):
+    """A fold of one block of nodes of level ``base``: all nodes above them, up to the block's top.
 
-
-def pair_hash(left: Column, right: Column) -> Column:
-    return F.sha2(F.concat(_length(left), left.cast("binary"), right.cast("binary")), 256)
-
-
-def _fold(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-    """The top of one full or last block of leaves: neighbours joined level by level, an odd last one passed on."""
-    hashes = block.sort_values("pos")["hash"].tolist()
-    while len(hashes) > 1:
-        pairs = [hashlib.sha256(len(a.encode()).to_bytes(8, "little") + a.encode() + b.encode()).hexdigest() for a, b in zip(hashes[::2], hashes[1::2])]
-        hashes = pairs + hashes[len(hashes) - len(hashes) % 2 :]
-    return pd.DataFrame({"pos": [key[0]], "hash": hashes})
+    Neighbours are joined level by level, an odd last one is passed on. Where there are ``more`` blocks every
+    block goes up by ``DEEP`` levels, so that the tops of all lie on one level.
+    """
+    def fold(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("pos")
+        hashes, first = block["hash"].tolist(), int(block["pos"].iat[0])
+        out, level = [], base
+        while len(hashes) > 1 or more and level < base + DEEP:
+            pairs = [hashlib.sha256(len(a.encode()).to_bytes(8, "little") + a.encode() + b.encode()).hexdigest() for a, b in zip(hashes[::2], hashes[1::2])]
+            hashes = pairs + hashes[len(hashes) - len(hashes) % 2 :]
+            level, first = level + 1, first // 2
+            out += [(level, first + i, h) for i, h in enumerate(hashes)]
+        return pd.DataFrame(out, columns=["level", "pos", "hash"])
+
+    return fold
+
+
+def _folds(leaves: DataFrame) -> Iterator[DataFrame]:
+    """level, pos, hash of the leaves (level 0), then of the nodes above them, ``DEEP`` levels at a time."""
+    own = clash_free(leaves, "chunk_id", "hash").dropna().groupBy("chunk_id").agg(F.max("hash").alias("hash"))
+    level = cut(dense_ids(own, ["chunk_id"]).select(F.lit(0).alias("level"), F.col("dense_id").alias("pos"), "hash"))
+    base, count = 0, level.count()
+    yield level
+    while count > 1:
+        more = count > BLOCK
+        blocks = level.withColumn("block", F.floor(F.col("pos") / BLOCK).cast("long")).groupBy("block")
+        folded = cut(blocks.applyInPandas(_folder(base, more), "level int, pos long, hash string"))
+        yield folded
+        base, count = base + DEEP, -(-count // BLOCK)
+        level = folded.filter(F.col("level") == base)
 
 
 def merkle_levels(leaves: DataFrame) -> DataFrame:
     """level, pos, hash of all nodes of the tree over (chunk_id, hash), leaves (level 0) ordered by chunk_id.
 
-    Of a chunk with several hashes the largest counts; rows with nulls are left out. Each level halves the
-    rows, so all levels together move twice the leaves; numbering is done by ranges, never in one task.
+    Of a chunk with several hashes the largest counts; rows with nulls are left out. Blocks of leaves are
+    folded where they lie, many levels at once; numbering is done by ranges, never in one task.
     """
-    own = clash_free(leaves, "chunk_id", "hash").dropna().groupBy("chunk_id").agg(F.max("hash").alias("hash"))
-    level = cut(dense_ids(own, ["chunk_id"]).select(F.lit(0).alias("level"), F.col("dense_id").alias("pos"), "hash"))
-    out, number, count = level, 0, level.count()
-    while count > 1:
-        number += 1
-        pair = F.sort_array(F.collect_list(F.struct("pos", "hash")))
-        above = level.groupBy(F.floor(F.col("pos") / 2).alias("pos")).agg(pair.alias("pair"))
-        left, right = F.get("pair", F.lit(0))["hash"], F.get("pair", F.lit(1))["hash"]
-        level = cut(above.select(F.lit(number).alias("level"), F.col("pos").cast("long").alias("pos"), F.when(right.isNull(), left).otherwise(pair_hash(left, right)).alias("hash")))
-        out = out.unionByName(level)
-        count = (count + 1) // 2
+    out = None
+    for part in _folds(leaves):
+        out = part if out is None else out.unionByName(part)
     return out
 
 
 def merkle_root(leaves: DataFrame) -> DataFrame:
-    """One row with root, or none for an empty tree; blocks of leaves fold within their rows first."""
-    own = clash_free(leaves, "chunk_id", "hash").dropna().groupBy("chunk_id").agg(F.max("hash").alias("hash"))
-    level = cut(dense_ids(own, ["chunk_id"]).select(F.col("dense_id").alias("pos"), "hash"))
-    count = level.count()
-    while count > 1:
-        level = cut(level.withColumn("block", F.floor(F.col("pos") / BLOCK).cast("long")).groupBy("block").applyInPandas(_fold, "pos long, hash string"))
-        count = -(-count // BLOCK)
-    return level.select(F.col("hash").alias("root"))
+    """One row with root, or none for an empty tree."""
+    top = list(_folds(leaves))[-1]
+    return top.groupBy().agg(F.max_by("hash", "level").alias("root")).filter("root is not null")
 
 
 def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:

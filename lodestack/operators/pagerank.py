@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, release
 from .graph import WALK_WEIGHTS, clean_edges, kind_weight
 
 SMALL_EDGES = 200_000
@@ -73,16 +74,18 @@ def pagerank(
     weights: dict[str, float] | None = None,
     collapse: bool = False,
     small_edges: int = SMALL_EDGES,
+    moves: DataFrame | None = None,
 ) -> DataFrame:
-    """node_id, score of every node; scores sum to one.
+    """node_id, score of every node; scores sum to one. ``moves``: :func:`transitions` that were made before.
 
     Mass of nodes without outgoing edges goes where walkers restart. Bad settings become the defaults. The
-    rounds stop when scores change by less than ``epsilon`` in sum. A graph without nodes gives no rows.
+    rounds stop when scores change by less than ``epsilon`` in sum; when ``rounds`` end before that, the scores
+    of the last one are given and a warning tells the change that was left. A graph without nodes gives no rows.
     """
     damping = min(max(damping, 0.0), 0.99) if math.isfinite(damping) else 0.85
     epsilon = max(epsilon, 1e-15) if math.isfinite(epsilon) else 1e-8
     rounds = max(int(rounds), 1)
-    moves = cut(transitions(edges, nodes, weights or WALK_WEIGHTS, collapse))
+    moves = moves if moves is not None else cut(transitions(edges, nodes, weights or WALK_WEIGHTS, collapse))
     restart = cut(seed_vector(nodes, seeds))
     ids = nodes.select("node_id").dropna().distinct()
     if moves.count() <= small_edges and restart.count() <= small_edges:
@@ -94,12 +97,20 @@ def pagerank(
         both = moved.unionByName(restart.select("node_id", (F.col("seed") * rest).alias("mass")))
         after = cut(both.groupBy("node_id").agg(F.sum("mass").alias("score")))
         change = after.withColumnRenamed("score", "new").join(score, "node_id", "full_outer").agg(F.sum(F.abs(F.coalesce("new", F.lit(0.0)) - F.coalesce("score", F.lit(0.0))))).first()[0]
+        release(moved)
+        release(score)
         score = after
         if change is None or change < epsilon:
             break
+    _warn_unsettled(change, epsilon)
     return ids.join(score, "node_id", "left").select("node_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def _warn_unsettled(change: float | None, epsilon: float) -> None:
+    if change is not None and change >= epsilon:
+        warnings.warn(f"scores still changed by {change:.3g} in the last round", stacklevel=3)
+
+
 def _small(spark, ids: DataFrame, moves: DataFrame, restart: DataFrame, damping: float, rounds: int, epsilon: float) -> DataFrame:
     """The same rounds over arrays; only reached when both tables were counted to be small."""
     m, r = moves.toPandas(), restart.toPandas()
@@ -115,5 +126,6 @@ def _small(spark, ids: DataFrame, moves: DataFrame, restart: DataFrame, damping:
         score = new
         if change < epsilon:
             break
+    _warn_unsettled(change, epsilon)
     table = spark.createDataFrame([(int(n), float(s)) for n, s in zip(known, score)], "node_id long, score double")
     return ids.join(table, "node_id", "left").select("node_id", F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import uuid
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,7 +29,7 @@ def source_files(spark: SparkSession, root: str, ending: str = "rs") -> DataFram
 def file_set(rows: DataFrame, order: str | None = None) -> DataFrame:
     """path, text, ext: of a path inserted several times the last by ``order`` stands (else the greatest text)."""
     last = F.col(order) if order else F.col("text")
-    one = Window.partitionBy("path").orderBy(last.desc())
+    one = Window.partitionBy("path").orderBy(last.desc_nulls_last(), F.col("text").desc_nulls_last())
     return rows.filter("path is not null").withColumn("__n", F.row_number().over(one)).filter("__n = 1").select("path", "text", F.regexp_extract("path", r"\.(\w+)$", 1).alias("ext"))
 
 
@@ -42,9 +44,20 @@ def normal_path(path):
     return F.regexp_replace(F.regexp_replace(slashed, r"(^|/)(\./)+", "$1"), "/$", "")
 
 
+def normal(path: str) -> str:
+    """:func:`normal_path` of one path."""
+    slashed = re.sub("/{2,}", "/", path.replace("\\", "/"))
+    return re.sub("/$", "", re.sub(r"(^|/)(\./)+", r"\1", slashed))
+
+
 @dataclass
 class Store:
-    """Named tables under one folder; saving replaces the table with a rename of a finished copy."""
+    """Named tables under one folder.
+
+    Every save writes a version of its own and then replaces the file that names the current one by a rename,
+    so a reader finds either the old or the new version, whole. The version before the current one stays for
+    those who still read it; older ones are removed.
+    """
 
     spark: SparkSession
     folder: str
@@ -56,23 +69,41 @@ class Store:
         return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def exists(self, name: str) -> bool:
-        return self._files().exists(self._path(name))
+        return self._files().exists(self._path(f"{name}/current"))
+
+    def _versions(self, name: str) -> list[str]:
+        """The names of the current version and of the one before it; none of a table that was never saved."""
+        if not self.exists(name):
+            return []
+        stream = self._files().open(self._path(f"{name}/current"))
+        try:
+            return stream.readUTF().split()
+        finally:
+            stream.close()
 
     def save(self, name: str, df: DataFrame) -> None:
-        files = self._files()
-        df.write.mode("overwrite").parquet(f"{self.folder}/.{name}.part")
-        if files.exists(self._path(name)):
-            files.delete(self._path(f".{name}.old"), True)
-            files.rename(self._path(name), self._path(f".{name}.old"))
-        files.rename(self._path(f".{name}.part"), self._path(name))
-        files.delete(self._path(f".{name}.old"), True)
+        """Put ``df`` in place of the table, from which it may read itself."""
+        version, before = f"v{uuid.uuid4().hex}", self._versions(name)
+        df.write.parquet(f"{self.folder}/{name}/{version}")
+        files, ready = self._files(), self._path(f"{name}/{version}.next")
+        stream = files.create(ready, False)
+        stream.writeUTF(" ".join([version, *before[:1]]))
+        stream.close()
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self.spark._jsc.hadoopConfiguration())
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        replace = self.spark.sparkContext._gateway.new_array(kind, 1)
+        replace[0] = kind.OVERWRITE
+        context.rename(ready, self._path(f"{name}/current"), replace)
+        for old in before[1:]:
+            files.delete(self._path(f"{name}/{old}"), True)
 
     def load(self, name: str, schema: StructType | str | None = None) -> DataFrame | None:
         """The table, or None when it was never saved."""
         if not self.exists(name):
             return None
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        return reader.parquet(f"{self.folder}/{name}")
+        return reader.parquet(f"{self.folder}/{name}/{self._versions(name)[0]}")
 
 
 @dataclass
@@ -105,6 +136,7 @@ class Settings:
     search: SearchConfig = field(default_factory=SearchConfig)
     context: ContextConfig = field(default_factory=ContextConfig)
     debounce_ms: int = 150
+    alias_key: str = "workspace"
     watch_debounce_ms: int = 500
     rate_burst: int = 60
     rate_refill: float = 10.0

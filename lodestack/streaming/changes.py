@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.indexing import ChunkIndex
 from ..operators.lexical import replace_chunks
 from ..operators.memory import WINDOW, boost_of_age, seconds_between
 from ..operators.merkle import tree_diff
-from ..runtime import shuffle_width
+from ..runtime import release, settle, shuffle_width
 from ..sources.files import SKIPPED, normal_path
 
 BURST, REFILL = 60.0, 10.0
@@ -117,6 +118,28 @@ def update_index(index: DataFrame, fresh: DataFrame) -> DataFrame:
     return replace_chunks(index, fresh, id_column="chunk_id", text_column="source")
 
 
+class IndexKeeper:
+    """Keeps a :class:`ChunkIndex` up to date: each batch of (path, kind) reads its files again and updates all parts at once.
+
+    ``read`` gives path and text of those files that are still there; ``cut`` makes chunks of them. A batch
+    whose number was applied before is left out, so that a batch that is given twice counts once.
+    """
+
+    def __init__(self, index: ChunkIndex, read: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame]) -> None:
+        self.index, self.read, self.cut, self.last, self.reports = index, read, cut, -1, []
+
+    def apply(self, batch: DataFrame, number: int) -> None:
+        if number <= self.last:
+            return
+        paths = settle(batch.select("path").distinct())
+        before = self.index
+        self.index, report = before.update(self.cut(self.read(paths)), paths)
+        self.reports.append(report)
+        self.last = number
+        before.release()
+        release(paths)
+
+
 def run_updates(changes: DataFrame, folder: str, apply: Callable[[DataFrame, int], None]):
     """Start the stream: each micro-batch of distinct (path, kind) is applied once, by its number."""
     return changes.writeStream.option("checkpointLocation", folder).foreachBatch(lambda batch, number: apply(batch.select("path", "kind").distinct(), number)).start()
@@ -138,6 +161,12 @@ def _allow(times: list[float], tokens: float, last: float | None, burst: float,
     return out, tokens, last
 
 
+def take(now: float, tokens: float, last: float | None, burst: float = BURST, refill: float = REFILL) -> tuple[bool, float, float | None]:
+    """(allowed, tokens, last) of one request against a bucket that is kept by the caller."""
+    allowed, tokens, last = _allow([now], tokens, last, burst, refill)
+    return allowed[0], tokens, last
+
+
 def token_bucket(events: DataFrame, key: str, burst: float = BURST, refill: float = REFILL, time: str = "ts", order: str = "event_id") -> DataFrame:
     """key, order, allowed of each event of a table, in order of time."""
     full = max(burst, 1.0)
@@ -175,7 +204,7 @@ def limited(events: DataFrame, key: str, burst: float = BURST, refill: float = R
         state.setTimeoutDuration(int(1000 * (max(burst, 1.0) / max(refill, 1.0) + 60)))
         yield pd.DataFrame({key: rows[key], order: rows[order], "allowed": rows["allowed"]})
 
-    rows = events.select(key, order, F.col("ts").cast("timestamp").cast("double").alias("__t"))
+    rows = events.select(key, order, F.col("ts").cast("timestamp").cast("double").alias("__t")).dropna()
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
@@ -216,4 +245,4 @@ def prune_every(memories: DataFrame, seconds: int, folder: str, prune: Callable[
     return ticks.writeStream.option("checkpointLocation", folder).trigger(processingTime=f"{seconds} seconds").foreachBatch(lambda _, number: prune(memories, number)).start()
 
 
-__all__ = ["anchored_batches", "apply_update", "debounced", "limited", "newest_requests", "prune_every", "read_changes", "recency_windows", "run_updates", "snapshot_changes", "token_bucket", "update_index", "watched", "window_boosts"]
+__all__ = ["IndexKeeper", "anchored_batches", "apply_update", "debounced", "limited", "newest_requests", "prune_every", "read_changes", "recency_windows", "run_updates", "snapshot_changes", "token_bucket", "update_index", "watched", "window_boosts"]

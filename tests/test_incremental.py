@@ -87,3 +87,41 @@ def test_merge_is_idempotent_and_disjoint(spark, rows):
     assert spans(I.merge_intervals(once)) == found
     for (a, _, hi), (b, lo, _) in zip(found, found[1:]):
         assert a != b or lo > hi + 1
+
+
+def test_an_update_is_pending_after_its_chunk_was_done(spark, tmp_path):
+    from datetime import datetime as D
+
+    t = lambda d: D(2026, 1, d)
+    ledger = I.Ledger(spark, str(tmp_path))
+    rows = [("a", "h1", t(1), t(1), None), ("b", "h1", t(1), t(2), None), ("c", "h1", t(1), t(3), None)]
+    take = lambda store: ledger.output(ledger.run(I.arrivals(_tables(spark, store, [], [])[0], 2), lambda todo: todo.filter("current")))
+    assert {r.chunk_id for r in take(rows).collect()} == {"a", "b", "c"}
+    assert {(r.chunk_id, r.content_hash) for r in take([*rows, ("a", "h2", t(5), t(5), None)]).collect()} == {("a", "h2")}
+    assert take([*rows, ("a", "h2", t(5), t(5), None)]).count() == 0
+
+
+def test_one_of_two_writers_commits(spark, tmp_path):
+    ledger = I.Ledger(spark, str(tmp_path))
+    rows = spark.createDataFrame([(0, i) for i in range(5)], "lane int, seq long")
+    none = spark.createDataFrame([], LANES)
+
+    def slow(todo):
+        ledger.commit(1, rows.limit(1), I.intervals_of(rows.limit(1)))  # another writer is faster
+        return todo
+
+    with pytest.raises(RuntimeError, match="another writer"):
+        ledger.run(rows, slow)
+    assert ledger.last_run() == 1 and ledger.output(1).count() == 1
+    ledger.run(rows, lambda todo: todo)
+    assert spans(ledger.intervals()) == [(0, 0, 4)] and ledger.output(2).count() == 4 and none.count() == 0
+
+
+def test_replay_takes_every_row_once(spark):
+    from datetime import datetime as D
+
+    t = lambda d: D(2026, 1, d)
+    store = [("a", "x", t(1), t(1), None), ("b", "x", t(1), t(9), None), ("c", "x", t(2), t(2), None), ("c", "x", t(2), t(2), None), ("d", None, t(3), t(4), None), (None, "x", t(1), t(1), None), ("e", "x", t(20), t(20), None)]
+    runs = [(1, "succeeded", t(3), t(3)), (2, "failed", t(5), t(5)), (3, " Succeeded ", t(6), t(6)), (4, "running", t(8), None), (5, "succeeded", t(12), t(13)), (None, "succeeded", t(1), t(1))]
+    assert sorted(tuple(r) for r in I.replay(*_tables(spark, store, [], runs)[::2], lanes=3).collect()) == [(1, 2, 2), (3, 1, 1), (5, 1, 1)]
+    assert I.replay(*_tables(spark, store, [], [])[::2]).count() == 0
