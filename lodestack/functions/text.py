@@ -7,7 +7,8 @@ import os
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What a log filter keeps, and what forbids cutting a log short.
+# What a log filter keeps; what forbids cutting a log short; commands whose output is filtered;
+# commands that would wait for a terminal; escape sequences, progress bars and places in files; lengths of cut logs.
 TEST_MARKERS = ("test result", "failures:", "FAILED", "failed", "error", "Error", "panic", "panicked", "assertion", "Caused by", "backtrace", "Tests:", "Suites:", "Time:", "running ", "Compiling", "warning:", "expected", "actual", "at ")
 FAILURE_WORDS = ("error", "fail", "panic", "FAILED", "exception", "traceback", "✕", "×")
 TEST_RUNNERS = ("cargo test", "jest", "pytest", "npm test", "yarn test", "go test", "mocha")
@@ -67,7 +68,11 @@ def interactive_word(command: Column) -> Column:
 
 
 def filter_test_lines(parts: Column) -> Column:
-    keep = lambda line: ~F.rlike(line, F.lit(PROGRESS)) & (_any(line, TEST_MARKERS) | F.rlike(line, F.lit(PATH_LINE)) | F.startswith(line, F.lit(" ")) | F.startswith(line, F.lit("\t")))
+    """Lines that tell something of a test run: marked or indented ones and places in files, no progress bars."""
+    def keep(line: Column) -> Column:
+        bare = F.btrim(line, F.lit(" \t\n\x0b\f\r"))
+        return ~F.rlike(line, F.lit(PROGRESS)) & (_any(bare, TEST_MARKERS) | F.rlike(bare, F.lit(PATH_LINE)) | F.startswith(line, F.lit(" ")) | F.startswith(line, F.lit("\t")))
+
     return F.filter(parts, keep)
 
 
@@ -150,10 +155,14 @@ def unfold(folded: Column) -> Column:
     return F.aggregate(folded["decoder"], folded["text"], lambda out, e: F.replace(out, e["sign"], e["phrase"]))
 
 
+#: Fixed value: how the line begins that tells what folded signs stand for.
+LEGEND = "// token-fold decoder: "
+
+
 def fold_legend(folded: Column) -> Column:
     """The line before a folded text that tells what its signs stand for; empty if it has none."""
     shown = F.array_join(F.transform(folded["decoder"], lambda e: F.concat(e["sign"], F.lit("="), e["phrase"])), ",")
-    return F.when(F.size(folded["decoder"]) == 0, F.lit("")).otherwise(F.concat(F.lit("// token-fold decoder: "), shown, F.lit("\n")))
+    return F.when(F.size(folded["decoder"]) == 0, F.lit("")).otherwise(F.concat(F.lit(LEGEND), shown, F.lit("\n")))
 
 
 def contained_path(root: str, path: str) -> str | None:

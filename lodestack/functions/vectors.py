@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -68,17 +68,27 @@ def mock_embedding(texts: pd.Series) -> pd.Series:
 _TERM = re.compile(r"\w+")
 
 
-@lru_cache(maxsize=200_000)
-def _term_features(term: str, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values that one occurrence of a term adds."""
-    names = [term, *("#" + term[i : i + 3] for i in range(len(term) - 2))]
-    weights = np.array([1.0] + [0.2] * (len(names) - 1))
-    slots, values = [], []
+MOST_TERMS = 200_000  #: terms whose features a worker remembers
+_KNOWN: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _learn(terms: list[str], dims: int) -> None:
+    """Slots and values that one occurrence of each term adds; all are hashed together."""
+    if len(_KNOWN) + len(terms) > MOST_TERMS:
+        _KNOWN.clear()
+    names = [[term, *("#" + term[i : i + 3] for i in range(len(term) - 2))] for term in terms]
+    sizes = [len(n) for n in names]
+    ends = np.cumsum(sizes)
+    flat = np.array([n for own in names for n in own], object)
+    weights = np.full(len(flat), 0.2)
+    weights[ends - sizes] = 1.0
+    parts = []
     for scale, salt in ((1.0, "0123456789123456"), (0.5, "6543219876543210")):
-        hashes = pd.util.hash_array(np.array(names, object), hash_key=salt, categorize=False)
-        slots.append((hashes % np.uint64(dims)).astype(np.int64))
-        values.append(weights * scale * np.where(hashes >> np.uint64(63), -1.0, 1.0))
-    return np.concatenate(slots), np.concatenate(values)
+        hashes = pd.util.hash_array(flat, hash_key=salt, categorize=False)
+        parts.append(((hashes % np.uint64(dims)).astype(np.int64), weights * scale * np.where(hashes >> np.uint64(63), -1.0, 1.0)))
+    for term, size, end in zip(terms, sizes, ends):
+        own = slice(end - size, end)
+        _KNOWN[term, dims] = np.concatenate([slots[own] for slots, _ in parts]), np.concatenate([values[own] for _, values in parts])
 
 
 def feature_vector(text: str, dims: int = 384) -> np.ndarray:
@@ -86,7 +96,10 @@ def feature_vector(text: str, dims: int = 384) -> np.ndarray:
     vector = np.zeros(dims)
     counts = Counter(_TERM.findall(text.lower()))
     if counts:
-        parts = [_term_features(term, dims) for term in counts]
+        new = [term for term in counts if (term, dims) not in _KNOWN]
+        if new:
+            _learn(list(counts) if len(_KNOWN) + len(new) > MOST_TERMS else new, dims)
+        parts = [_KNOWN[term, dims] for term in counts]
         times = np.repeat(np.fromiter(counts.values(), float), [len(v) for _, v in parts])
         vector = np.bincount(np.concatenate([s for s, _ in parts]), np.concatenate([v for _, v in parts]) * times, dims)
     size = math.sqrt(float(vector @ vector))
@@ -98,6 +111,26 @@ def fallback_embedding(texts: pd.Series) -> pd.Series:
     return pd.Series([feature_vector(t) if isinstance(t, str) else None for t in texts])
 
 
+def model_embedding(load, batch: int = 256):
+    """A column function for a model: ``load()`` gives, once in each Python worker, a function from texts to vectors.
+
+    Texts go to the model in batches; null texts have null vectors. Where no model can be loaded, that is
+    where ``load`` returns None, :func:`feature_vector` stands in.
+    """
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def embed(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = load()
+        for texts in series:
+            known = texts.dropna()
+            vectors: list = []
+            for at in range(0, len(known), batch):
+                part = known.iloc[at : at + batch].tolist()
+                vectors += [list(map(float, v)) for v in (encode(part) if encode else map(feature_vector, part))]
+            yield pd.Series(vectors, index=known.index, dtype=object).reindex(texts.index).where(texts.notna(), None)
+
+    return embed
+
+
 def searchable_text(tracker: Column, name: Column, kind: Column, source: Column) -> Column:
     """What is embedded of a node: its module path if it has one, identity, and the source twice."""
     parts = F.split(tracker, "::")

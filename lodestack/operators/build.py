@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rustscan import Scanner, walk
+from ..functions.rustscan import KEYWORDS, Scanner, walk
 from ..runtime import cut, settle
 from .graph import clean_edges, dense_ids
 
@@ -140,6 +140,50 @@ def build_graph(files: DataFrame, root: str = "") -> tuple[DataFrame, DataFrame]
     return shown, edges
 
 
+SYNTAX = "path string, ord long, up long, kind string, name string, range_start long, range_end long, defines boolean"
+
+
+def syntax_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of everything in each file: the file, its items at every depth, and every identifier.
+
+    ``contains`` leads from the file or innermost item to what stands in it; ``references`` from an identifier
+    to the first definition, in order of path and place, whose name it is. Ids are dense in that order. Null
+    paths or texts give nothing; edges are distinct and never lead back to their node.
+    """
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, text in zip(batch["path"], batch["text"]):
+                scanner = Scanner(text)
+                out.append((path, 0, None, "file", path, 0, len(text), False))
+                number, own = 1, [(0, len(text), 0)]
+                numbers: dict[int, int] = {}
+                for item, parents in walk(scanner.items):
+                    numbers[id(item)] = number
+                    out.append((path, number, numbers[id(parents[-1])] if parents else 0, item.kind, item.name, item.start, item.end, True))
+                    own.append((item.start, item.end, number))
+                    number += 1
+                own.sort(key=lambda x: (x[0], -x[1]))
+                stack, at = [], 0
+                for token in scanner.tokens:
+                    while at < len(own) and own[at][0] <= token.start:
+                        stack.append(own[at])
+                        at += 1
+                    while stack[-1][1] <= token.start and len(stack) > 1:
+                        stack.pop()
+                    if token.kind == "ident" and token.text not in KEYWORDS:
+                        out.append((path, number, stack[-1][2], "identifier", token.text, token.start, token.end, False))
+                        number += 1
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SYNTAX.split(", ")]).astype({"up": "Int64"})
+
+    found = settle(dense_ids(files.select("path", "text").dropna().dropDuplicates(["path"]).mapInPandas(scan, SYNTAX), ["path", "ord"]).withColumnRenamed("dense_id", "node_id"))
+    upper = found.select("path", F.col("ord").alias("up"), F.col("node_id").alias("src"))
+    contains = found.join(upper, ["path", "up"]).select("src", F.col("node_id").alias("dst"), F.lit("contains").alias("kind"))
+    defined = found.filter("defines").groupBy("name").agg(F.min("node_id").alias("dst"))
+    names = found.filter("kind = 'identifier'").join(defined, "name").select(F.col("node_id").alias("src"), "dst", F.lit("references").alias("kind"))
+    return found.select("node_id", "path", "kind", "name", "range_start", "range_end"), clean_edges(contains.unionByName(names))
+
+
 POSTINGS = "term string, node_id long, line long, weight double"
 
 
@@ -158,11 +202,13 @@ def postings(nodes: DataFrame) -> DataFrame:
 
 # --- bridges ------------------------------------------------------------------------------------------
 
+# What marks a query or an endpoint in a source text, and a table in a query.
 _SQL_CALL = r'(?i)(?:query!|query_as!)\s*\(\s*"([^"]*)"'
 _SQL_RAW = r'(?i)r#?"((?:SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP|WITH)\s[^"]*)"'
 _API = r'"((?:/api/|https?://[^"/\s]+/api/)[^"]*)"'
 # Words that make a text SQL; path segments that name nothing.
 _SQL_WORDS = ("SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER", "DROP", "WITH", "FROM", "WHERE")
+_TABLE_WORDS = ("FROM", "JOIN", "INTO", "UPDATE")
 _NO_RESOURCE = ("api", "v1", "v2", "v3", "get", "post", "put", "delete", "patch")
 
 
@@ -177,7 +223,7 @@ def bridges(nodes: DataFrame, id_column: str = "node_id", text_column: str = "so
 
 def resources(type_: Column, target: Column) -> Column:
     """Tables of a query, or the naming segments of an endpoint; lower case, distinct."""
-    tables = F.regexp_extract_all(target, F.lit(r"(?i)(?:FROM|JOIN|INTO|UPDATE)\s+[\"`]?([A-Za-z_][\w.]*)"), 1)
+    tables = F.concat(*(F.regexp_extract_all(target, F.lit(rf"(?i){word}\s*([A-Za-z0-9_]+)"), 1) for word in _TABLE_WORDS))
     segments = F.filter(F.split(F.regexp_replace(target, r"[?#].*$", ""), "/"), lambda s: (s != "") & ~F.rlike(s, F.lit(r"^\d+$")) & ~F.lower(s).isin(*_NO_RESOURCE))
     return F.array_distinct(F.transform(F.when(type_ == "sql", tables).otherwise(segments), lambda s: F.lower(s)))
 

@@ -15,7 +15,7 @@ from ..functions import linediff
 from ..functions.rustscan import KEYWORDS, alias_identifiers, hidden_bodies, keep_methods, signatures, skeleton
 from ..functions.text import evacuate_whitespace
 from ..functions.tokens import token_estimate
-from ..runtime import cut, shuffle_width
+from ..runtime import cut, release, settle, shuffle_width
 
 _WORD = re.compile(r"\w+")
 _LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
@@ -85,6 +85,26 @@ def hydrate(text: Column, dictionary: Column) -> Column:
     return F.aggregate(entries, text, lambda out, e: F.replace(out, e["key"], e["value"]))
 
 
+class ChunkRegistry:
+    """Compressed chunks by id: registered as one table, looked up and hydrated by joins."""
+
+    def __init__(self, compressed: DataFrame) -> None:
+        """``compressed``: what :func:`dictionary_compress` gives."""
+        self.table = settle(compressed)
+
+    def register(self, more: DataFrame) -> None:
+        """Puts ``more`` in; of one node the newer row stands."""
+        old = self.table
+        kept = old.join(more.select("node_id").distinct(), "node_id", "left_anti").select(*old.columns)
+        self.table = settle(kept.unionByName(more.select(*old.columns)))
+        release(old)
+
+    def get(self, ids: DataFrame) -> DataFrame:
+        """node_id, prompt (legend and compressed text), source of the registered ones of ``ids``."""
+        own = self.table.join(ids.select("node_id").distinct(), "node_id", "left_semi")
+        return own.select("node_id", F.concat(legend(F.col("dictionary")), F.col("compressed")).alias("prompt"), hydrate(F.col("compressed"), F.col("dictionary")).alias("source"))
+
+
 @F.pandas_udf(StringType())
 def to_signatures(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: signatures(t) if isinstance(t, str) else None)

@@ -48,6 +48,13 @@ def forget(memories: DataFrame, ids: DataFrame) -> DataFrame:
     return memories.join(ids.select("id").distinct(), "id", "left_anti")
 
 
+def listing(memories: DataFrame, namespace: str | None = None, k: int | None = None) -> DataFrame:
+    """Memories of one namespace, or all of them, newest access first, ties by id; at most k when given."""
+    rows = memories if namespace is None else memories.filter(F.col("namespace") == namespace)
+    rows = rows.orderBy(F.desc("last_accessed"), "id")
+    return rows if k is None else rows.limit(max(k, 0))
+
+
 def update(memories: DataFrame, id_: str, importance_: float | None = None, namespace: str | None = None) -> DataFrame:
     """Sets the namespace (null clears it) and, when given, the importance within 0 and 1."""
     here = F.col("id") == id_

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import token_estimate
-from ..operators import build, compress, context, graph
+from ..operators import build, compress, context, graph, indexing
 from ..runtime import table
-from ..sources.files import listing
+from ..sources.files import listing, normal_path
 from ..streaming import changes
 
 
@@ -102,6 +102,16 @@ def budget_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("query_id", F.size("deps").alias("n"), F.aggregate("deps", F.lit(0).cast("long"), lambda t, d: t + d["tokens"]).alias("tokens"))
 
 
+def assembled_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """The prompt of each query around an empty cursor: its hits in order until the budget is passed."""
+    rows = _candidates(spark, folder).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("order"), "node_id", "text", "tokens"))).alias("deps"))
+    return rows.select("query_id", F.md5(context.assemble(F.lit("// here"), F.col("deps"))).alias("digest"))
+
+
+def cursor_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    return context.snapshot(table(spark, folder, "nodes"), _cursors(spark, folder)).select("cursor_id", "node_id", "name", F.round("pagerank", 9).alias("pagerank"))
+
+
 def kept_bodies(spark: SparkSession, folder: str) -> DataFrame:
     """Which hits of each query keep their bodies."""
     rows = _candidates(spark, folder).select("query_id", F.col("node_id").alias("id"), "score", "text")
@@ -116,8 +126,8 @@ def _versions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def diff_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """Digests of applied diffs, of documents without carriage returns, which a line diff doesn't keep."""
-    rows = _versions(spark, folder).filter(~F.contains("old", F.lit("\r")) & (F.endswith("old", F.lit("\n")) == F.endswith("new", F.lit("\n"))))
+    """Digests of applied diffs. Lines are given back without their ends; the final one is that of the old text."""
+    rows = _versions(spark, folder)
     return rows.select("doc_id", F.md5(compress.apply_diff("old", compress.unified_diff("old", "new"))).alias("digest"))
 
 
@@ -126,6 +136,25 @@ def diff_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return _versions(spark, folder).select("doc_id", stats.alias("s")).select("doc_id", "s.hunks", "s.added", "s.removed", "s.tokens", "s.bytes")
 
 
+def diff_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Hunks and changed lines of every document against its edited copy."""
+    stats = compress.diff_stats(compress.unified_diff("old", "new"))
+    return _versions(spark, folder).select("doc_id", stats.alias("s")).select("doc_id", (F.col("s.added") + F.col("s.removed")).alias("lines"), (F.col("s.hunks") > 0).alias("differs"))
+
+
+def index_update(spark: SparkSession, folder: str) -> DataFrame:
+    """What an update of the chunk index reports when some files have chunks changed and others taken out."""
+    rows = _code(spark, folder).select(F.col("node_id").cast("string").alias("chunk_id"), "file_path", "source", F.sha2("source", 256).alias("content_hash"), "node_id")
+    rows = rows.filter("file_path is not null")
+    index = indexing.ChunkIndex.build(rows.select(*indexing.CHUNK), "key")
+    path = normal_path(F.col("file_path"))
+    edited = F.when(F.col("node_id") % 2 == 0, F.concat("source", F.lit(" // edited"))).otherwise(F.col("source"))
+    fresh = rows.filter((F.length(path) % 5 == 0) & (F.col("node_id") % 3 != 0)).withColumn("source", edited).withColumn("content_hash", F.sha2("source", 256))
+    after, report = index.update(fresh.select(*indexing.CHUNK), rows.filter(F.length(path) % 5 == 0).select(F.col("file_path").alias("path")))
+    grams = after.sizes.agg(F.count("*").alias("n")).first()["n"]
+    return spark.createDataFrame([(k, report[k]) for k in ("changed", "deleted", "upserted", "skipped")] + [("indexed", grams)], "what string, chunks long")
+
+
 def file_listing(spark: SparkSession, folder: str) -> DataFrame:
     return listing(table(spark, folder, "nodes"))
 
@@ -149,7 +178,7 @@ def watched_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (chunk_kinds, crate_graph, source_postings, signature_sizes, skeleton_sizes, custom_identifiers, dictionary_savings, aliased_sizes, bridge_resources, bridge_links, cursor_nodes, cursor_offsets, surrounding_lines, budget_packed, kept_bodies, diff_round_trip, diff_statistics, file_listing, token_bucket, anchored_batches, watched_changes)
+    for f in (chunk_kinds, crate_graph, source_postings, signature_sizes, skeleton_sizes, custom_identifiers, dictionary_savings, aliased_sizes, bridge_resources, bridge_links, cursor_nodes, cursor_snapshots, assembled_prompts, cursor_offsets, surrounding_lines, budget_packed, kept_bodies, diff_round_trip, diff_statistics, diff_changes, index_update, file_listing, token_bucket, anchored_batches, watched_changes)
 }
 
 _LINES = "CASE WHEN text = '' THEN []::VARCHAR[] WHEN ends_with(text, chr(10)) THEN string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))[:-2] ELSE string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) END"
@@ -191,7 +220,52 @@ SQL = {
     """,
     "diff_round_trip": """
         WITH v AS (SELECT doc_id, text AS old, CASE WHEN doc_id % 7 = 0 THEN replace(text, 'the ', 'a ') WHEN doc_id % 11 = 0 THEN regexp_replace(text, '^[^\\n]*\\n', '') ELSE text END AS new FROM documents WHERE text IS NOT NULL)
-        SELECT doc_id, md5(new) AS digest FROM v WHERE NOT contains(old, chr(13)) AND ends_with(old, chr(10)) = ends_with(new, chr(10))
+        SELECT doc_id, md5(regexp_replace(regexp_replace(new, '\\r(\\n|$)', '\\1', 'g'), '\\n$', '') || CASE WHEN ends_with(old, chr(10)) THEN chr(10) ELSE '' END) AS digest FROM v
+    """,
+    "budget_packed": f"""
+        WITH RECURSIVE {_HITS}, o AS (SELECT query_id, text, tokens, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS i FROM cand),
+        w(query_id, i, used, taken) AS (SELECT query_id, 0, 0::BIGINT, []::VARCHAR[] FROM (SELECT DISTINCT query_id FROM o)
+            UNION ALL SELECT o.query_id, o.i, CASE WHEN used + tokens <= 1200 AND len(taken) < 5 AND NOT list_contains(taken, text) THEN used + tokens ELSE used END,
+            CASE WHEN used + tokens <= 1200 AND len(taken) < 5 AND NOT list_contains(taken, text) THEN list_append(taken, text) ELSE taken END FROM w JOIN o ON o.query_id = w.query_id AND o.i = w.i + 1)
+        SELECT query_id, len(taken)::INT AS n, used AS tokens FROM w QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i DESC) = 1
+    """,
+    "assembled_prompts": f"""
+        WITH {_HITS}, o AS (SELECT query_id, text, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS i,
+            3 + sum(tokens) OVER (PARTITION BY query_id ORDER BY score DESC, node_id ROWS UNBOUNDED PRECEDING) AS used FROM cand),
+        p AS (SELECT query_id, string_agg(chr(10) || '// dep ' || i || chr(10) || text, '' ORDER BY i) FILTER (used <= 4000) AS t FROM o GROUP BY query_id)
+        SELECT query_id, md5('// here' || coalesce(t, '')) AS digest FROM p
+    """,
+    "diff_changes": """
+        WITH v AS (SELECT doc_id, text AS old, CASE WHEN doc_id % 7 = 0 THEN replace(text, 'the ', 'a ') WHEN doc_id % 11 = 0 THEN regexp_replace(text, '^[^\\n]*\\n', '') ELSE text END AS new FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(old, '\\r(\\n|$)', '\\1', 'g'), '\\n$', ''), chr(10)) AS o, string_split(regexp_replace(regexp_replace(new, '\\r(\\n|$)', '\\1', 'g'), '\\n$', ''), chr(10)) AS n FROM v),
+        c AS (SELECT doc_id, CASE WHEN len(o) <> len(n) THEN abs(len(o) - len(n)) ELSE 2 * len(list_filter(list_zip(o, n), lambda x: x[1] <> x[2])) END::INT AS lines FROM l)
+        SELECT doc_id, lines, lines > 0 AS differs FROM c
+    """,
+    "bridge_links": """
+        WITH a AS (SELECT DISTINCT node_id, unnest(regexp_extract_all(source, '"(https?://[^"/\\s]+/[^"]*)"', 1)) AS target FROM nodes WHERE node_id IS NOT NULL),
+        q AS (SELECT DISTINCT node_id, trim(unnest(list_concat(regexp_extract_all(source, '(?i)(?:query!|query_as!)\\s*\\(\\s*"([^"]*)"', 1), regexp_extract_all(source, '(?i)r#?"((?:SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP|WITH)\\s[^"]*)"', 1)))) AS target FROM nodes WHERE node_id IS NOT NULL),
+        s AS (SELECT * FROM q WHERE target <> '' AND regexp_matches(upper(target), 'SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP|WITH|FROM|WHERE')),
+        k AS (SELECT node_id, 'api:' || target AS key FROM a UNION SELECT node_id, 'sql:' || target FROM s
+            UNION SELECT node_id, 'resource:' || lower(unnest(list_concat(list_concat(regexp_extract_all(target, '(?i)FROM\\s*([A-Za-z0-9_]+)', 1), regexp_extract_all(target, '(?i)JOIN\\s*([A-Za-z0-9_]+)', 1)), list_concat(regexp_extract_all(target, '(?i)INTO\\s*([A-Za-z0-9_]+)', 1), regexp_extract_all(target, '(?i)UPDATE\\s*([A-Za-z0-9_]+)', 1))))) FROM s
+            UNION SELECT node_id, 'resource:' || lower(unnest(list_filter(string_split(regexp_replace(target, '[?#].*$', ''), '/'), lambda x: x <> '' AND NOT regexp_full_match(x, '\\d+') AND lower(x) NOT IN ('api', 'v1', 'v2', 'v3', 'get', 'post', 'put', 'delete', 'patch')))) FROM a)
+        SELECT count(*) AS edges FROM (SELECT DISTINCT x.node_id, y.node_id FROM k x JOIN k y ON x.key = y.key AND x.node_id <> y.node_id)
+    """,
+    "watched_changes": f"""
+        WITH p AS (SELECT {_PATH} AS path, CASE WHEN kind = 'impl' THEN 'deleted' ELSE 'created' END AS kind FROM nodes)
+        SELECT kind, count(DISTINCT path) AS files FROM p WHERE ends_with(path, '.rs') AND NOT list_has_any(string_split(path, '/'), ['.git', 'target', 'node_modules', '.cache', '.idea', '.vscode']) GROUP BY kind
+    """,
+    "cursor_snapshots": """
+        WITH spans AS (SELECT DISTINCT node_id, file_path, range_start, range_end FROM nodes WHERE range_start <= range_end AND node_id IS NOT NULL),
+        cursors AS (SELECT DISTINCT node_id AS cursor_id, file_path, floor((range_start + range_end) / 2)::BIGINT AS o FROM nodes WHERE node_id IS NOT NULL AND range_start <= range_end AND file_path IS NOT NULL),
+        f AS (SELECT cursor_id, s.node_id FROM cursors c JOIN spans s ON s.file_path = c.file_path AND o BETWEEN range_start AND range_end
+            QUALIFY row_number() OVER (PARTITION BY cursor_id ORDER BY range_end - range_start, s.node_id) = 1),
+        n AS (SELECT node_id, name, CASE WHEN isnan(pagerank) THEN NULL ELSE pagerank END AS pagerank FROM nodes QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY CASE WHEN isnan(pagerank) THEN NULL ELSE pagerank END DESC NULLS LAST, name DESC) = 1)
+        SELECT cursor_id, f.node_id, name, round(pagerank, 9) AS pagerank FROM f LEFT JOIN n USING (node_id)
+    """,
+    "index_update": f"""
+        WITH c AS (SELECT DISTINCT node_id, source, length({_PATH}) % 5 = 0 AS touched FROM nodes WHERE kind <> 'file' AND source IS NOT NULL AND node_id IS NOT NULL AND file_path IS NOT NULL),
+        n AS (SELECT count(*) AS n, count(*) FILTER (touched AND node_id % 3 = 0) AS gone, count(*) FILTER (touched AND node_id % 3 <> 0 AND node_id % 2 = 0) AS new FROM c)
+        SELECT unnest(['changed', 'deleted', 'upserted', 'skipped', 'indexed']) AS what, unnest([new, gone, new, n - gone - new, n - gone]) AS chunks FROM n
     """,
     "file_listing": f"SELECT {_PATH} AS file_path, count(DISTINCT node_id) AS nodes FROM nodes WHERE file_path IS NOT NULL GROUP BY 1",
     "anchored_batches": """

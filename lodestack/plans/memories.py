@@ -35,6 +35,10 @@ def memory_recall(spark: SparkSession, folder: str) -> DataFrame:
     return M.recall(_memories(spark, folder), RECALL, NOW, 20).select("id", F.round("score", 6).alias("score"))
 
 
+def memory_listed(spark: SparkSession, folder: str) -> DataFrame:
+    return M.listing(_memories(spark, folder), "de").select("id", "last_accessed")
+
+
 def memory_pruned(spark: SparkSession, folder: str) -> DataFrame:
     return M.prune(_memories(spark, folder), NOW, 0.3).select("id")
 
@@ -71,7 +75,7 @@ def latest_generation(spark: SparkSession, folder: str) -> DataFrame:
     return M.latest_generation(table(spark, folder, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
 
 
-QUERIES = {f.__name__: f for f in (memory_importance, memory_decay, memory_recall, memory_pruned, memory_edited, recency_boosts, boosted_seeds, window_summary, latest_generation)}
+QUERIES = {f.__name__: f for f in (memory_importance, memory_decay, memory_recall, memory_listed, memory_pruned, memory_edited, recency_boosts, boosted_seeds, window_summary, latest_generation)}
 
 _MEM = f"""(SELECT 'mem_' || doc_id AS id, text AS content, lower(lang) AS namespace, {NOW} - (doc_id * 7919) % 2000000 AS last_accessed, doc_id % 9 AS access_count,
             least(greatest(0.5 + least(strlen(text) / 200.0, 0.3) + CASE WHEN lang IS NOT NULL THEN 0.2 ELSE 0.0 END - CASE WHEN strlen(text) < 20 THEN 0.1 ELSE 0.0 END, 0), 1)::DOUBLE AS importance
@@ -85,6 +89,7 @@ SQL = {
     "memory_importance": f"SELECT id, round(importance, 6) AS importance FROM {_MEM}",
     "memory_decay": f"SELECT id, round({_DECAY}, 6) AS decay FROM {_MEM}",
     "memory_recall": f"SELECT id, round(({_COUNT}) * ({_DECAY}), 6) AS score FROM {_MEM} WHERE ({_COUNT}) > 0 ORDER BY round(({_COUNT}) * ({_DECAY}), 9) DESC, id LIMIT 20",
+    "memory_listed": f"SELECT id, last_accessed FROM {_MEM} WHERE namespace = 'de'",
     "memory_pruned": f"SELECT id FROM {_MEM} WHERE {_DECAY} >= 0.3",
     "memory_edited": f"SELECT CASE id WHEN 'mem_100002' THEN 'moved' ELSE namespace END AS namespace, count(*) AS memories, sum(access_count + CASE id WHEN 'mem_100003' THEN 1 ELSE 0 END)::BIGINT AS accesses FROM {_MEM} WHERE id <> 'mem_100001' GROUP BY 1",
     "recency_boosts": f"SELECT node_id, round(boost, 6) AS boost FROM {_BOOST}",
