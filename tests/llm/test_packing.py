@@ -69,9 +69,12 @@ def test_open_prompts_of_many_lanes_are_merged(spark):
     rng = random.Random(8)
     rows = [(i, 1, "m", "word " * rng.randint(1, 30), 0, True) for i in range(4000)]
     deps, windows = tables(spark, rows)
-    report = {r.window_id: r for r in P.fill_report(P.pack(deps, windows, lane_rows=3, most_open=4)).collect()}
-    whole = {r.window_id: r for r in P.fill_report(P.pack(deps, windows)).collect()}
-    assert report[1].tokens == whole[1].tokens == sum(estimate(r[3]) for r in rows)
-    assert report[1].fill > 0.9 and whole[1].fill > 0.97
+    size = sum(estimate(r[3]) for r in rows)
+    whole = P.fill_report(P.pack(deps, windows)).first()
+    assert whole.tokens == size and whole.fill > 0.98
+    # lanes of a few texts leave nearly empty prompts, which only the rounds of merging put together
+    for lane_rows, least in ((60, 0.95), (3, 0.85)):
+        report = P.fill_report(P.pack(deps, windows, lane_rows=lane_rows, most_open=4)).first()
+        assert report.tokens == size and report.fill > least
     seen = P.window_report(P.pack(deps, windows)).first()
-    assert seen.overfull == 0 and seen.tight and seen.tokens == whole[1].tokens
+    assert seen.overfull == 0 and seen.tight and seen.tokens == size
