@@ -54,7 +54,7 @@ LIMITS = {
 
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _STAND_IN = re.compile(
-    r"(?ix) ^$ | ^[<\[{(].*[>\]})]$ | \$\{ | \$\( | \{\{ | \{\} | \{\w*\} | ^\$\w+ | ^%\w+%$ | ^@\w+@$ | <[^<>]*> | ^(.)\1*$ | ^[x*.\-_#?0]+$"
+    r"(?ix) ^$ | ^[<\[{(].*[>\]})]$ | \$\{ | \$\( | \{\{ | \{\} | \{\w*\} | ^\$\w+ | ^%\w+%$ | ^@\w+@$ | <[^<>]*> | ^<[a-z]+$ | ^(.)\1*$ | ^[x*.\-_#?0]+$"
     r" | \b(?:your|my|some|insert|enter)[\s_\-] | re?place[\s_\-]?me | change[\s_\-]?(?:me|it|this) | placeholder | example | dummy | redacted | ^(?:todo|tbd|fixme|none|null|nil|undefined|true|false|yes|no|on|off|test|secret|password|passwd|token|changeit|default|unset|empty|hidden|masked|string|str|text|required|optional|invalid|wrong|missing|prompt|stdin|basic|bearer|digest|usize|value|auth)$"
 )
 _REFERENCE = re.compile(r"(?i)^(?:/|\./|\.\./|~/|[a-z]:\\)[\w./\\\-~]*$|^(?:vault|kv|secret|secrets|ssm|arn|env|file|ref|op|keychain|aws-sm|gcp-sm)(?::|/)|^(?:env|process\.env|std::env|os\.environ|os\.getenv|config|settings|self|ctx|vault|secrets?)[.(\[:]|^(?:ssh-(?:rsa|dss|ed25519)|ecdsa-sha2)\b|^https?://")

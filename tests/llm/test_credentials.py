@@ -63,7 +63,7 @@ def test_places_that_move_the_limit(text):
     assert C.find_credentials(text)
 
 
-@pytest.mark.parametrize("text", ['auth_token="page-1"', 'secret_name_1 = "db-main-5"', "password: String,", "machine h login ops access_key <your access key>", 'login = "deployer"', "// the key is split at dbg_610adf", "token: usize,", 'x["password"] => "Passwort"'])
+@pytest.mark.parametrize("text", ['auth_token="page-1"', 'secret_name_1 = "db-main-5"', "password: String,", "machine h login ops access_key <your access key>", "machine h login ops password <your db pass>", 'login = "deployer"', "// the key is split at dbg_610adf", "token: usize,", 'x["password"] => "Passwort"'])
 def test_natural_words_and_names_stay(text):
     assert C.find_credentials(text) == []
 
