@@ -134,12 +134,15 @@ def semantic_block(vectors: DataFrame, queries: DataFrame, k: int, floor: float
     rows = vectors.select(F.col(id_column).alias("node_id"), F.col(vector_column).cast("array<double>").alias("v")).dropna()
     asked = queries.select(F.col(queries.columns[0]).alias("query"), F.col(queries.columns[1]).cast("array<double>").alias("v")).dropna()
     kinds = dict(rows.dtypes)["node_id"], dict(asked.dtypes)["query"]
-    numbered = cut(dense_ids(asked.repartition("query"), ["query"]).withColumn("block", F.floor(F.col("dense_id") / block)))
-    out = None
-    for number in range(-(-numbered.count() // block) or 1):
-        own = numbered.filter(F.col("block") == number).select("query", "v").toPandas()
-        part = _block_search(spark, rows, own, k, floor, kinds)
-        out = part if out is None else out.unionByName(part)
+    count = asked.count()
+    if count <= block:
+        out = _block_search(spark, rows, asked.toPandas(), k, floor, kinds)
+    else:
+        out = None
+        numbered = cut(dense_ids(asked.repartition("query"), ["query"]).withColumn("block", F.floor(F.col("dense_id") / block)))
+        for number in range(-(-count // block)):
+            part = _block_search(spark, rows, numbered.filter(F.col("block") == number).select("query", "v").toPandas(), k, floor, kinds)
+            out = part if out is None else out.unionByName(part)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "node_id")
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
