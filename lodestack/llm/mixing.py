@@ -27,6 +27,7 @@ FEATURES = 2_048
 LEVELS = 16  #: grades of membership between the two likeliest sources of a document
 STEPS, TOLERANCE = 20_000, 1e-7  #: most gradient steps on the class sums, and the residual share at which they end
 LEAST_TOTAL = 0.05  #: the mix keeps at least this part of the tokens of known source, even if some targets are missed
+ROUNDING = 1e-12  #: a missing part of the wanted tokens that is no more than this comes from rounding
 ENCODED_AT_ONCE = 256  #: texts handed to the tokenizer together, which bounds a worker's memory
 
 _PIECES = re.compile(r"\w+|[^\w\s]|\n")
@@ -90,19 +91,6 @@ def fit_classifier(documents: DataFrame, sources: list[str], labelled_rows: int
     return Classifier.fit(x, rows["source"].map(number).to_numpy(int), sources)
 
 
-def token_sizes(documents: DataFrame, folder: str = TOKENIZER_FOLDER, file: str = BPE_FILE) -> DataFrame:
-    """doc_id, source (key) and tokens of each document; null texts have no tokens, repeated rows count once."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("source"), "text").dropna(subset=["doc_id"])
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            counts = [n for at in range(0, len(texts), ENCODED_AT_ONCE) for n in token_counts(texts[at : at + ENCODED_AT_ONCE], folder, file)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": counts})
-
-    return rows.mapInPandas(count, "doc_id long, source string, tokens long").distinct()
-
-
 @dataclass
 class Goals:
     """Targets in order of their sources."""
@@ -222,11 +210,11 @@ def mix(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZER_FOLDER
                 posterior[known, own[known].astype(int)] = 1.0
                 if not known.all():
                     posterior[~known] = model.value.posteriors(np.stack([features(texts[i]) for i in np.flatnonzero(~known)]))
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "source": part["source"].where(known, None).to_numpy(), "tokens": token_counts(texts, folder, file), "class": classes_of(posterior), "known": known, "posterior": list(posterior.astype(np.float32))})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "source": part["source"].where(known, None).to_numpy(), "tokens": token_counts(texts, folder, file), "class": classes_of(posterior), "known": known, "posterior": list(posterior.astype(np.float32)), "print": part["print"].to_numpy()})
 
-    # texts pass no shuffle: of repeated rows one is kept after they were judged
-    judged = rows.mapInPandas(judge, "doc_id long, source string, tokens long, class long, known boolean, posterior array<float>")
-    judged = settle(judged.groupBy("doc_id", "source").agg(F.first(F.struct("tokens", "class", "known", "posterior")).alias("d")).select("doc_id", "source", "d.*"))
+    # texts pass no shuffle: of rows with the same text one is kept after they were judged
+    judged = rows.withColumn("print", fingerprint("text")).mapInPandas(judge, "doc_id long, source string, tokens long, class long, known boolean, posterior array<float>, print long")
+    judged = settle(judged.groupBy("doc_id", "source", "print").agg(F.first(F.struct("tokens", "class", "known", "posterior")).alias("d")).select("doc_id", "source", "d.*"))
 
     def class_sums(weight) -> DataFrame:
         sums = [F.sum(F.col("posterior")[i] * F.col("tokens") * weight).alias(f"s{i}") for i in range(width)]
@@ -239,7 +227,7 @@ def mix(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZER_FOLDER
     caps = np.array([goals.repeats[r["class"] // (width * LEVELS)] for r in table])
     own = expected[known].sum(0)
     rate, missing, total = fit_mix(expected, caps, goals.shares, float(own.sum()), least_total * float(own.sum()))
-    short = _short(own, goals)
+    short = _short(expected[known], caps[known], goals)
 
     rates = spark.createDataFrame([(r["class"], r["known"], float(x)) for r, x in zip(table, rate)], "class long, known boolean, rate double")
     chance = (fingerprint("doc_id") % 1_000_000_007) / 1_000_000_007
@@ -248,31 +236,27 @@ def mix(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZER_FOLDER
     drawn = every.agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), *(F.sum(F.col("posterior")[i] * F.col("tokens") * F.col("copies")).alias(f"s{i}") for i in range(width))).first() if width else None
     by_rate, by_copies = rate @ expected if len(rate) else np.zeros(width), np.array([(drawn[f"s{i}"] if drawn else 0.0) or 0.0 for i in range(width)])
     part = lambda x, i: round(float(x[i] / x.sum()), 6) if x.sum() > 0 else None
-    lines = [(s, float(goals.shares[i]), int(goals.repeats[i]), int(own[i]), s not in short, int(by_copies[i]), part(by_rate, i), part(by_copies, i), round(float(missing[i]), 6)) for i, s in enumerate(sources)]
-    report = spark.createDataFrame(lines, "source string, target_share double, max_repeats int, own_tokens long, reachable boolean, used_tokens long, rate_share double, copy_share double, residual double")
+    lines = [(s, float(goals.shares[i]), int(goals.repeats[i]), int(own[i]), not short[i], int(by_copies[i]), part(by_rate, i), part(by_copies, i), round(float(missing[i]), 6)) for i, s in enumerate(sources)]
+    report = spark.createDataFrame(lines, "source string, target_share double, max_repeats long, own_tokens long, reachable boolean, used_tokens long, rate_share double, copy_share double, residual double")
     return every.select("doc_id", "source", "tokens", "rate", "copies"), report
 
 
-def _short(own: np.ndarray, goals: Goals) -> set[str]:
-    """Sources whose fitted rates leave tokens missing when the total is that of all documents of known source.
+def _short(expected: np.ndarray, caps: np.ndarray, goals: Goals) -> list[bool]:
+    """Whether the fitted rates of the named documents leave each source short when the total is all their tokens.
 
-    ``own`` has the tokens of each source's own documents, which belong to it with certainty: one class for
-    each source. Where the fit is within its tolerance of the target, the sums decide.
+    ``expected`` and ``caps`` are the classes of named documents. A source is short when tokens of it stay
+    missing while every class that holds some of it is at its cap; what is missing below a cap is only the
+    tolerance of the fit.
     """
-    wanted = goals.shares * own.sum()
-    missing = fit_rates(np.diag(own), goals.repeats, wanted)[1]
-    exact = wanted > goals.repeats * own
-    return {s for s, m, e in zip(goals.sources, missing, exact) if m > -1e-3 and e}
+    rate, missing = fit_rates(expected, caps, goals.shares * expected.sum())
+    return [bool(x) for x in (missing > ROUNDING) & ((caps - rate) @ expected <= 0)]
 
 
 def short_sources(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZER_FOLDER, file: str = BPE_FILE) -> DataFrame:
     """Sources whose own documents, repeated as often as allowed, stay below their share of all tokens of known source.
 
-    Rows come from the residuals of the fitted rates. Documents without a known source count for neither side,
-    so no posteriors are needed. Repeated rows count once; sources without documents and a share are short.
+    The whole mix is made; rows are the sources that its report calls unreachable. Documents without a known
+    source get their posteriors and rates in the mix but count for neither side here. Repeated rows count
+    once; sources without documents and a share are short.
     """
-    goals = Goals.read(targets)
-    known = source_key(F.col("source")).isin(goals.sources) if goals.sources else F.lit(False)
-    sums = {r["source"]: r["tokens"] for r in token_sizes(documents.filter(known), folder, file).groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
-    short = _short(np.array([float(sums.get(s, 0)) for s in goals.sources]), goals)
-    return documents.sparkSession.createDataFrame([(s,) for s in goals.sources if s in short], "source string")
+    return mix(documents, targets, folder, file)[1].filter(~F.col("reachable")).select("source")

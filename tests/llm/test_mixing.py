@@ -94,3 +94,41 @@ def test_unnamed_documents_go_by_their_posteriors(spark):
     got = {r.source: r for r in report.collect()}
     assert all(abs(r.rate_share - r.target_share) < 0.001 and abs(r.residual) < 1e-3 for r in got.values())
     assert {r.rate < 1 for r in copies.filter("source is null").collect()} == {True} or got["log"].used_tokens > 0
+
+
+def test_short_sources_come_from_the_whole_mix(spark, monkeypatch):
+    docs = spark.createDataFrame(documents(spark, {"code": 50, "prose": 50, "log": 2}, unknown=30), DOC)
+    goals = spark.createDataFrame([("code", 0.4, 2), ("prose", 0.3, 2), ("log", 0.3, 4)], GOAL)
+    fitted, fit = [], M.fit_classifier
+    monkeypatch.setattr(M, "fit_classifier", lambda *given: fitted.append(fit(*given)) or fitted[-1])
+    # unnamed logs would do for the share, but only a source's own documents count
+    assert {r.source for r in M.short_sources(docs, goals).collect()} == {"log"}
+    assert len(fitted) == 1 and fitted[0].posteriors(M.features(f"{KINDS['log']} 7 " * 4)[None])[0].argmax() == fitted[0].sources.index("log")
+    # the fit decides: nothing left missing, nothing short
+    rates = M.fit_rates
+    monkeypatch.setattr(M, "fit_rates", lambda *given: (rates(*given)[0], np.zeros(len(given[2]))))
+    assert M.short_sources(docs, goals).count() == 0
+
+
+def test_a_source_is_short_when_tokens_are_missing_at_the_cap():
+    def short(own, shares, repeats):
+        return M._short(np.diag(np.array(own, float)), np.array(repeats, float), M.Goals([str(i) for i in range(len(own))], np.array(shares), np.array(repeats, float)))
+
+    assert short([10, 90, 0], [0.2, 0.7, 0.1], [2, 1, 5]) == [False, False, True]
+    assert short([10, 90], [0.2 + 1e-9, 0.7], [2, 1]) == [True, False]
+    # rates far from one are fitted with less care than their caps are kept
+    assert short([3, 10**10], [0.5, 1e-10], [10**9, 1]) == [True, False] and short([3, 10**10], [0.5, 1e-10], [10**10, 1]) == [False, False]
+    assert short([5, 5], [0.5, 0.0], [0, 0]) == [True, False] and short([0, 0], [0.5, 0.5], [1, 1]) == [False, False]
+
+
+def test_texts_of_one_id_count_each(spark):
+    rows = [(1, "one two", "code", None), (1, "two one", " CODE", None), (1, "two one", "code", None), (2, "one two", "prose", None)]
+    assert len(set(M.token_counts(["one two", "two one"]))) == 1
+    docs, goals = spark.createDataFrame(rows, DOC), spark.createDataFrame([("code", 0.6, 1), ("prose", 0.3, 1)], GOAL)
+    assert M.short_sources(docs, goals).count() == 0
+    assert {r.source: r.own_tokens for r in M.mix(docs, goals)[1].collect()} == {"code": 4, "prose": 2}
+
+
+def test_many_repeats(spark):
+    goals = spark.createDataFrame([("code", 0.5, 10**12), ("prose", 0.5, 1)], "source string, target_share double, max_repeats long")
+    assert M.short_sources(spark.createDataFrame(documents(spark, {"code": 2, "prose": 3}), DOC), goals).count() == 0
